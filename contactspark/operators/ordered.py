@@ -50,26 +50,26 @@ def running_totals(
     """
     whole = whole or {}
     laid = checkpointed(
-        df.repartitionByRange(*[F.col(g) for g in groups], *_names(order)).withColumn("_part", F.spark_partition_id())
+        df.repartitionByRange(*[F.col(g) for g in groups], *_names(order)).withColumn("__part", F.spark_partition_id())
     )
-    sums = laid.groupBy(*groups, "_part").agg(
-        *[F.sum(c).alias(f"_s_{n}") for n, c in totals.items()], *[F.sum(c).alias(f"_w_{n}") for n, c in whole.items()]
+    sums = laid.groupBy(*groups, "__part").agg(
+        *[F.sum(c).alias(f"__s_{n}") for n, c in totals.items()], *[F.sum(c).alias(f"__w_{n}") for n, c in whole.items()]
     )
-    before = W.partitionBy(*groups).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*groups).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     every = W.partitionBy(*groups)
     offsets = sums.select(
-        *[F.col(g).alias(f"_g_{g}") for g in groups],
-        F.col("_part").alias("_p"),
-        *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in totals],
-        *[F.sum(f"_w_{n}").over(every).alias(n) for n in whole],
+        *[F.col(g).alias(f"__g_{g}") for g in groups],
+        F.col("__part").alias("__at"),
+        *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in totals],
+        *[F.sum(f"__w_{n}").over(every).alias(n) for n in whole],
     )
-    on = F.col("_part") == F.col("_p")
+    on = F.col("__part") == F.col("__at")
     for g in groups:
-        on = on & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-    here = W.partitionBy(*groups, "_part").orderBy(*_names(order)).rowsBetween(W.unboundedPreceding, 0)
+        on = on & F.col(g).eqNullSafe(F.col(f"__g_{g}"))
+    here = W.partitionBy(*groups, "__part").orderBy(*_names(order)).rowsBetween(W.unboundedPreceding, 0)
     joined = laid.join(offsets, on)
     return joined.select(
-        *df.columns, *[(F.sum(c).over(here) + F.col(f"_o_{n}")).alias(n) for n, c in totals.items()], *whole
+        *df.columns, *[(F.sum(c).over(here) + F.col(f"__o_{n}")).alias(n) for n, c in totals.items()], *whole
     )
 
 

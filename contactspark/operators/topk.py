@@ -94,8 +94,8 @@ def topk_overlap_neighbour(
     groups = [*outer, "distance_band", "tile_row"]
     ready = df.withColumns({score_a: finite(score_a), score_b: finite(score_b)}).filter(
         F.col(score_a).isNotNull() & F.col(score_b).isNotNull())
-    ready = ready.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*groups))).filter("_n >= 2")
-    cells = ready.select(*groups, "chrom", "bin_i", "bin_j", "pair_id", "_n", score_a, score_b)
+    ready = ready.withColumn("_size", F.count(F.lit(1)).over(W.partitionBy(*groups))).filter("_size >= 2")
+    cells = ready.select(*groups, "chrom", "bin_i", "bin_j", "pair_id", "_size", score_a, score_b)
     each = cells.withColumn("fraction", F.explode(F.array(*[F.lit(f) for f in fractions])))
     keys = [*groups, "fraction"]
 
@@ -109,10 +109,10 @@ def topk_overlap_neighbour(
 
     def directed(top, other, name):
         hits = neighbour_match(top, other, near, tolerance, bin_size).groupBy(*keys).agg(F.count(F.lit(1)).alias(f"hits_{name}"))
-        size = top.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"size_{name}"), F.max("tied").alias(f"{name}_tied"), F.max("_n").alias("_n"))
+        size = top.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"size_{name}"), F.max("tied").alias(f"{name}_tied"), F.max("_size").alias("_size"))
         return size.join(hits, keys, "left").fillna(0, [f"hits_{name}"])
 
-    both = directed(top_a, top_b, "a").join(directed(top_b, top_a, "b").drop("_n"), keys)
+    both = directed(top_a, top_b, "a").join(directed(top_b, top_a, "b").drop("_size"), keys)
     # neighbourhood sizes depend on the group only, not on the fraction: counted once per selected pair
     wanted = top_a.select(*groups, "chrom", "bin_i", "bin_j").unionByName(top_b.select(*groups, "chrom", "bin_i", "bin_j")).distinct()
     sizes = neighbour_count(wanted, cells, [*groups, "chrom"], tolerance, bin_size)
@@ -121,13 +121,13 @@ def topk_overlap_neighbour(
         at = [*groups, "chrom", "bin_i", "bin_j"]
         drawn = both.select(*keys, F.col(f"size_{other}").alias("_drawn"))
         return top.join(sizes, at).join(drawn, keys).groupBy(*keys).agg(
-            F.avg(hypergeom_any("_n", "neighbours", "_drawn")).alias(f"chance_{name}"))
+            F.avg(hypergeom_any("_size", "neighbours", "_drawn")).alias(f"chance_{name}"))
 
     out = both.join(chance(top_a, "b", "a"), keys).join(chance(top_b, "a", "b"), keys)
     overlap = (F.col("hits_a") / F.col("size_a") + F.col("hits_b") / F.col("size_b")) / 2
     mean_chance = (F.col("chance_a") + F.col("chance_b")) / 2
     return out.select(
-        *keys, F.col("_n").alias("candidate_count"), overlap.alias("overlap"), mean_chance.alias("chance"),
+        *keys, F.col("_size").alias("candidate_count"), overlap.alias("overlap"), mean_chance.alias("chance"),
         F.when(mean_chance > 0, overlap / mean_chance).alias("enrichment"), "a_tied", "b_tied",
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contactspark.functions.scalars import aligned_target_start, chrom_number, fdiv, strict_distance_band
+from contactspark.operators.ordered import checkpointed
 from contactspark.settings import Geometry
 
 PAIR = ["chrom", "bin_i", "bin_j"]
@@ -60,7 +61,10 @@ def canonical_pairs(tiles: DataFrame, geometry: Geometry, span: int = 1_000_000)
     """
     # the tile table is bounded by the genome: a few thousand rows
     placed = tiles.withColumn("_place", F.row_number().over(W.orderBy("tile_id")).cast("long"))
-    every = enumerate_pairs(placed.withColumn("tile_row", F.col("_place")), geometry, span)
+    # one short row per tile becomes thousands of pairs: spread the tiles over tasks first
+    tasks = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = placed.withColumn("tile_row", F.col("_place")).repartition(tasks, "tile_id")
+    every = enumerate_pairs(spread, geometry, span)
     packed = (F.lit(1 << 20) - F.col("boundary_margin_bins")) * F.lit(1 << 32) + F.col("tile_row")
     best = every.groupBy(*PAIR).agg(F.min(packed).alias("_best"))
     distance = F.col("bin_j") - F.col("bin_i")
@@ -74,11 +78,9 @@ def canonical_pairs(tiles: DataFrame, geometry: Geometry, span: int = 1_000_000)
 
 def conflicting_anchors(pairs: DataFrame) -> DataFrame:
     """Anchor bins that pairs of more than one split use."""
-    anchors = pairs.select("chrom", F.explode(F.array("bin_i", "bin_j")).alias("bin"), "split")
-    return (
-        anchors.groupBy("chrom", "bin").agg(F.min("split").alias("_a"), F.max("split").alias("_b"))
-        .filter("_a <> _b").select("chrom", "bin")
-    )
+    # distinct first: a few thousand (bin, split) rows are left of millions of anchors
+    anchors = pairs.select("chrom", F.explode(F.array("bin_i", "bin_j")).alias("bin"), "split").distinct()
+    return anchors.groupBy("chrom", "bin").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("chrom", "bin")
 
 
 def purge_cross_split(pairs: DataFrame) -> DataFrame:
@@ -113,7 +115,8 @@ def assign_pair_id(pairs: DataFrame) -> DataFrame:
 def build_universe(tiles: DataFrame, geometry: Geometry | None = None, span: int = 1_000_000) -> DataFrame:
     """Enumerate, keep one representation, purge shared anchors, number, name the band."""
     geometry = geometry or Geometry()
-    pairs = purge_cross_split(canonical_pairs(tiles, geometry, span))
+    # read twice below (counts per left bin, then numbering), so it is stored once
+    pairs = checkpointed(purge_cross_split(canonical_pairs(tiles, geometry, span)))
     return assign_pair_id(pairs).withColumn("distance_band", strict_distance_band("distance_bp", geometry.bands))
 
 

@@ -1,4 +1,4 @@
-from workloads import counting
+from workloads import counting, ranking
 from workloads.base import QUERIES, oracle
 
-__all__ = ["QUERIES", "counting", "oracle"]
+__all__ = ["QUERIES", "counting", "oracle", "ranking"]

@@ -13,6 +13,7 @@ from contactspark.fixtures import TABLES, VIEWS, Tables, references
 from contactspark.operators import contacts as C
 from contactspark.operators import evidence as E
 from contactspark.operators import universe as U
+from contactspark.operators.ordered import checkpointed
 from contactspark.settings import BIN_SIZE, Geometry
 
 QUERIES: dict = {}
@@ -30,7 +31,8 @@ class Inputs(Tables):
 
     @cached_property
     def universe(self) -> DataFrame:
-        return U.build_universe(self.tiles, Geometry())
+        """The pair table, stored as a pipeline would store it: most queries read it more than once."""
+        return checkpointed(U.build_universe(self.tiles, Geometry()))
 
     @cached_property
     def assignments(self) -> DataFrame:
