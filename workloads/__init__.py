@@ -1,4 +1,4 @@
-from workloads import counting, ranking
+from workloads import counting, modelling, ranking
 from workloads.base import QUERIES, oracle
 
-__all__ = ["QUERIES", "counting", "oracle", "ranking"]
+__all__ = ["QUERIES", "counting", "modelling", "oracle", "ranking"]

@@ -18,6 +18,7 @@ from contactspark.settings import BIN_SIZE, Geometry
 
 QUERIES: dict = {}
 TEXTS: dict[str, str] = {}
+STORED: dict[tuple[str, str], DataFrame] = {}
 # DuckDB texts of intermediate tables, written apart from the Spark code
 STEPS: dict[str, str] = {}
 
@@ -31,8 +32,11 @@ class Inputs(Tables):
 
     @cached_property
     def universe(self) -> DataFrame:
-        """The pair table, stored as a pipeline would store it: most queries read it more than once."""
-        return checkpointed(U.build_universe(self.tiles, Geometry()))
+        """The pair table, stored once per session and data folder, as a pipeline would store it."""
+        key = (self.spark.sparkContext.applicationId, self.folder)
+        if key not in STORED:
+            STORED[key] = checkpointed(U.build_universe(self.tiles, Geometry()))
+        return STORED[key]
 
     @cached_property
     def assignments(self) -> DataFrame:
