@@ -1,4 +1,4 @@
-from workloads import counting, modelling, ranking
+from workloads import annotation, counting, modelling, ranking
 from workloads.base import QUERIES, oracle
 
-__all__ = ["QUERIES", "counting", "modelling", "oracle", "ranking"]
+__all__ = ["QUERIES", "annotation", "counting", "modelling", "oracle", "ranking"]
