@@ -12,14 +12,14 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def floor_to(position, size: int) -> Column:
-    """Start of the bin that holds a non-negative position."""
-    return col(position) - col(position) % size
+def fdiv(value, size: int) -> Column:
+    """Integer quotient of non-negative integers.  Refers to its input once, so nested uses stay small."""
+    return F.call_function("div", col(value), F.lit(size))
 
 
-def fdiv(value, size: int) -> Column:
-    """Integer quotient of non-negative integers."""
-    return (floor_to(value, size) / size).cast("long")
+def floor_to(position, size: int) -> Column:
+    """Start of the bin that holds a non-negative position."""
+    return fdiv(position, size) * size
 
 
 def chrom_number(chrom="chrom") -> Column:

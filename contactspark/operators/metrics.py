@@ -26,16 +26,16 @@ def classification(df: DataFrame, groups: list[str], score: str, label: str) ->
     """Average precision, tie-corrected AUROC, prevalence and lift; metrics are null for one-class groups."""
     steps = _thresholds(df, groups, score, label)
     negatives = F.col("_rows") - F.col("_positives")
-    ap = F.sum(F.col("_p") / F.col("_positives") * (F.col("_cp") / F.col("_cn")))
+    ap = F.sum(F.try_divide("_p", "_positives") * (F.col("_cp") / F.col("_cn")))
     wins = F.sum((F.col("_n") - F.col("_p")) * (F.col("_cp") - F.col("_p") + F.col("_p") / 2.0))
     out = steps.groupBy(*groups).agg(
-        F.max("_rows").alias("candidates"), F.max("_positives").alias("positives"), ap.alias("_ap"), (wins / F.max(F.col("_positives") * negatives)).alias("_auc")
+        F.max("_rows").alias("candidates"), F.max("_positives").alias("positives"), ap.alias("_ap"), F.try_divide(wins, F.max(F.col("_positives") * negatives)).alias("_auc")
     )
     both = (F.col("positives") > 0) & (F.col("positives") < F.col("candidates"))
     prevalence = F.col("positives") / F.col("candidates")
     return out.select(
         *groups, "candidates", "positives", prevalence.alias("prevalence"), F.when(both, F.col("_ap")).alias("auprc"),
-        F.when(both, F.col("_ap") / prevalence).alias("auprc_lift"), F.when(both, F.col("_auc")).alias("auroc"),
+        F.when(both, F.try_divide(F.col("_ap"), prevalence)).alias("auprc_lift"), F.when(both, F.col("_auc")).alias("auroc"),
     )
 
 
@@ -261,7 +261,7 @@ def one_se_selection(losses: DataFrame, order: list[str]) -> DataFrame:
 def mass_allocation(df: DataFrame, groups: list[str], mask: str, observed: str, predicted: str) -> DataFrame:
     """A subset's share of pairs, observed and predicted mass, and the mass shares over the pair share."""
     def share(value):
-        return F.sum(F.when(F.col(mask), value).otherwise(0)) / F.sum(value)
+        return F.try_divide(F.sum(F.when(F.col(mask), value).otherwise(0)), F.sum(value))
 
     out = df.groupBy(*groups).agg(
         F.count_if(mask).alias("subset_pairs"), F.count(F.lit(1)).alias("pairs"), share(F.lit(1)).alias("pair_share"),

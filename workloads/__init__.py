@@ -1,4 +1,4 @@
-from workloads import annotation, counting, discovery, modelling, ranking
+from workloads import annotation, counting, discovery, gates, modelling, ranking
 from workloads.base import QUERIES, oracle
 
-__all__ = ["QUERIES", "annotation", "counting", "discovery", "modelling", "oracle", "ranking"]
+__all__ = ["QUERIES", "annotation", "counting", "discovery", "gates", "modelling", "oracle", "ranking"]
