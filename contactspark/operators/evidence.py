@@ -228,6 +228,7 @@ def thin_counts(counts: DataFrame, keys: list[str], item: str, value: str, depth
     unit = counts.filter(F.col(value) > 0).select(
         *keys, item, F.explode(F.sequence(F.lit(1).cast("long"), F.col(value).cast("long"))).alias("_event")
     ).withColumn("_u", uniform(seed, *keys, item, "_event")).withColumn("_prefix", F.floor(F.col("_u") * 4096))
+    # a prefix holds one event in 4096 of a group: that is what one task orders
     per = unit.groupBy(*keys, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
     run = W.partitionBy(*keys).orderBy("_prefix").rowsBetween(W.unboundedPreceding, 0)  # at most 4096 rows
     cut = per.withColumn("_upto", F.sum("_n").over(run)).join(depth.select(*keys, "depth"), keys).select(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from contactspark.functions.scalars import finite, fraction_k, hypergeom_any
 from contactspark.operators.neighbours import neighbour_count, neighbour_match
-from contactspark.operators.ordered import running_totals
+from contactspark.operators.ordered import checkpointed, running_totals
 
 
 def topk_hard(df: DataFrame, groups: list[str], score: str, fraction, row: str = "pair_id") -> DataFrame:
@@ -92,19 +92,28 @@ def topk_overlap_neighbour(
     has no set to match and is read as ``hard``.
     """
     groups = [*outer, "distance_band", "tile_row"]
+    w = W.partitionBy(*groups)
     ready = df.withColumns({score_a: finite(score_a), score_b: finite(score_b)}).filter(
         F.col(score_a).isNotNull() & F.col(score_b).isNotNull())
-    ready = ready.withColumn("_size", F.count(F.lit(1)).over(W.partitionBy(*groups))).filter("_size >= 2")
-    cells = ready.select(*groups, "chrom", "bin_i", "bin_j", "pair_id", "_size", score_a, score_b)
-    each = cells.withColumn("fraction", F.explode(F.array(*[F.lit(f) for f in fractions])))
-    keys = [*groups, "fraction"]
+    ready = ready.select(*groups, "chrom", "bin_i", "bin_j", "pair_id", score_a, score_b).withColumn("_size", F.count(F.lit(1)).over(w))
+    cells = ready.filter("_size >= 2")
 
-    def select(score):
-        if tie_mode == "inclusive":
-            return topk_inclusive(each, keys, score, "fraction")
-        return topk_hard(each, keys, score, "fraction")
+    # ranks serve every fraction, so the windows run once over the candidates and only selected rows go on
+    def places(score, side):
+        order = w.orderBy(F.col(score).desc(), F.col("pair_id"))
+        return {f"_n{side}": F.row_number().over(order), f"_r{side}": F.rank().over(w.orderBy(F.col(score).desc())),
+                f"_even{side}": F.coalesce(F.col(score) == F.lead(score).over(order), F.lit(False))}
 
-    top_a, top_b = select(score_a), select(score_b)
+    ranked = cells.withColumns({**places(score_a, "a"), **places(score_b, "b")})
+    each = ranked.withColumn("fraction", F.explode(F.array(*[F.lit(f) for f in fractions]))).withColumn("k", fraction_k("_size", "fraction"))
+    keys = [*groups, "fraction"]
+    by = "_r" if tie_mode == "inclusive" else "_n"
+    sides = {f"_in{s}": F.col(f"{by}{s}") <= F.col("k") for s in "ab"}
+    ties = {f"_tied{s}": (F.col(f"_n{s}") == F.col("k")) & F.col(f"_even{s}") for s in "ab"}
+    picked = checkpointed(each.withColumns({**sides, **ties}).filter("_ina or _inb").select(
+        *keys, "chrom", "bin_i", "bin_j", "pair_id", "_size", "_ina", "_inb", "_tieda", "_tiedb"))
+    top_a = picked.filter("_ina").withColumnRenamed("_tieda", "tied")
+    top_b = picked.filter("_inb").withColumnRenamed("_tiedb", "tied")
     near = [*keys, "chrom"]
 
     def directed(top, other, name):
@@ -114,7 +123,7 @@ def topk_overlap_neighbour(
 
     both = directed(top_a, top_b, "a").join(directed(top_b, top_a, "b").drop("_size"), keys)
     # neighbourhood sizes depend on the group only, not on the fraction: counted once per selected pair
-    wanted = top_a.select(*groups, "chrom", "bin_i", "bin_j").unionByName(top_b.select(*groups, "chrom", "bin_i", "bin_j")).distinct()
+    wanted = picked.select(*groups, "chrom", "bin_i", "bin_j").distinct()
     sizes = neighbour_count(wanted, cells, [*groups, "chrom"], tolerance, bin_size)
 
     def chance(top, other, name):

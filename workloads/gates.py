@@ -14,6 +14,7 @@ from contactspark.operators import power as P
 from contactspark.operators import rates as R
 from contactspark.operators import resampling as B
 from contactspark.operators import topk as K
+from contactspark.operators.ordered import checkpointed
 from contactspark.plans import gates as G
 from workloads.base import BIN_SIZE, CONTEXTS, OUTPUTS, SPLITS, STEPS, query
 from workloads.counting import power_rows
@@ -161,14 +162,16 @@ def concordance(t):
     place = t.universe.filter("split = 'validation'").select("pair_id", "tile_row", "distance_band")
     sizes = place.groupBy("tile_row", "distance_band").agg(F.count(F.lit(1)).alias("candidate_count")).withColumn("k", S.fraction_k("candidate_count", 0.01))
     units = t.outputs.filter("output_type <> 'shared'")
-    own = E.pool_counts(t.counts, units, ["counts_a", "counts_b"]).join(place, "pair_id")
-    other = E.complement_counts(t.counts, units, list(range(len(CONTEXTS)))).join(place, "pair_id")
+    # each is read by the thinning (cut and draw) and by the overlap, so it is stored once
+    own = checkpointed(E.pool_counts(t.counts, units, ["counts_a", "counts_b"]).join(place, "pair_id"))
+    other = checkpointed(E.complement_counts(t.counts, units, list(range(len(CONTEXTS)))).join(place, "pair_id"))
     keys = ["output_id", "distance_band"]
     depth = own.groupBy(*keys).agg(F.sum("counts_a").alias("_a")).join(other.groupBy(*keys).agg(F.sum("other_count").alias("_o")), keys).select(
         *keys, F.least("_a", "_o").alias("depth"))
     thin_a = E.thin_counts(own.select(*keys, "pair_id", "counts_a"), keys, "pair_id", "counts_a", depth, 51)
     thin_o = E.thin_counts(other.select(*keys, "pair_id", "other_count"), keys, "pair_id", "other_count", depth, 52)
     cross = thin_a.join(thin_o, [*keys, "pair_id"], "full_outer").fillna(0, ["counts_a", "other_count"]).join(place.select("pair_id", "tile_row"), "pair_id")
+    cross = checkpointed(cross)
     power = units.select("output_id").distinct().withColumn("passed", F.lit(True))
     return G.concordance_gate(band_overlap(own, sizes, "counts_a", "counts_b"), band_overlap(cross, sizes, "counts_a", "other_count"), power, BANDS)
 
@@ -343,7 +346,7 @@ def ceiling_rows(t):
 @query("replicate_ceiling")
 def replicate_ceiling(t):
     """Median enrichment over contexts and splits of the neighbourhood overlap between halves."""
-    rows = K.topk_overlap_neighbour(ceiling_rows(t), "score_a", "score_b", [0.01, 0.02], 1, BIN_SIZE, outer=("context_index", "rep"))
+    rows = K.topk_overlap_neighbour(checkpointed(ceiling_rows(t)), "score_a", "score_b", [0.01, 0.02], 1, BIN_SIZE, outer=("context_index", "rep"))
     per = K.median_over_groups(rows, ["context_index", "rep", "distance_band", "fraction"])
     return per.groupBy("distance_band", "fraction").agg(F.percentile("enrichment_over_chance", F.lit(0.5)).alias("enrichment"), F.count(F.lit(1)).alias("replicates"))
 
@@ -354,6 +357,7 @@ def evaluation_tables(t):
     grid = centered(t).filter("split = 'validation'").withColumn("context_index", F.explode(F.array(*[F.lit(c) for c in range(len(CONTEXTS))])))
     full = grid.join(rows, ["context_index", "pair_id"], "left").fillna(0, ["y"]).withColumns({
         "base": F.log("exposure") + F.col("distance_offset"), "flat": F.lit(0.0), "target": F.log1p(F.col("y")), "hit": (F.col("y") > 0).cast("int")})
+    full = checkpointed(full)  # read by eight measures below
     parts = []
     for source, eta in (("model", "eta"), ("exposure_distance", "base"), ("uniform", "flat")):
         ll = R.conditional_ll(full, ["context_index", "chrom", "distance_band"], eta, "y")
