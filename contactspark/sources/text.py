@@ -56,8 +56,9 @@ def _table_lines(text: DataFrame) -> DataFrame:
 def parse_bed(text: DataFrame) -> DataFrame:
     """Intervals of three or more whitespace fields; empty ones are dropped, short lines are an error."""
     f = F.split(F.trim("value"), r"\s+")
-    first = require(F.size(f) >= 3, f[0], "interval line has fewer than three fields", "string")
-    rows = _table_lines(text).select(first.alias("chrom"), F.get(f, F.lit(1)).cast("long").alias("start_bp"), F.get(f, F.lit(2)).cast("long").alias("end_bp"))
+    # the check sits in a column the filter below reads, so that no bad line is dropped unseen
+    end = require(F.size(f) >= 3, F.get(f, F.lit(2)).cast("long"), "interval line has fewer than three fields", "bigint")
+    rows = _table_lines(text).select(f[0].alias("chrom"), F.get(f, F.lit(1)).cast("long").alias("start_bp"), end.alias("end_bp"))
     return rows.filter("end_bp > start_bp")
 
 
@@ -68,9 +69,9 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
 def parse_labelled_bed(text: DataFrame, labels=("dELS", "pELS")) -> DataFrame:
     """Intervals whose tenth field is one of the labels; fewer than ten fields is an error."""
     f = F.split(F.trim("value"), r"\s+")
-    chrom = require(F.size(f) >= 10, f[0], "interval line has fewer than ten fields", "string")
+    label = require(F.size(f) >= 10, F.get(f, F.lit(9)), "interval line has fewer than ten fields", "string")
     rows = _table_lines(text).select(
-        chrom.alias("chrom"), F.get(f, F.lit(1)).cast("long").alias("start_bp"), F.get(f, F.lit(2)).cast("long").alias("end_bp"), F.get(f, F.lit(9)).alias("label"))
+        f[0].alias("chrom"), F.get(f, F.lit(1)).cast("long").alias("start_bp"), F.get(f, F.lit(2)).cast("long").alias("end_bp"), label.alias("label"))
     return rows.filter(F.col("label").isin(list(labels)) & (F.col("end_bp") > F.col("start_bp")))
 
 
@@ -113,12 +114,13 @@ def map_bedpe(calls: DataFrame, low: int = 250_000, high: int = 1_000_000, sourc
 
     Trans calls, wrong widths and off-grid anchors are errors.  Rows are not yet deduplicated.
     """
-    chrom = require(F.col("chrom_i") == F.col("chrom_j"), F.col("chrom_i"), "trans call", "string")
+    # checks sit in a column the distance filter reads, so that no bad call is dropped unseen
     fine = F.lit(True)
     for side in ("i", "j"):
         fine = fine & (F.col(f"end_{side}") - F.col(f"start_{side}") == source_bin) & (F.col(f"start_{side}") % source_bin == 0)
     left = require(fine, F.least("start_i", "start_j"), "anchor off the grid or of the wrong width", "long")
-    out = calls.select(chrom.alias("chrom"), floor_to(left, bin_size).alias("bin_i"), floor_to(F.greatest("start_i", "start_j"), bin_size).alias("bin_j"), *keep)
+    left = require(F.col("chrom_i") == F.col("chrom_j"), left, "trans call", "long")
+    out = calls.select(F.col("chrom_i").alias("chrom"), floor_to(left, bin_size).alias("bin_i"), floor_to(F.greatest("start_i", "start_j"), bin_size).alias("bin_j"), *keep)
     return out.filter((F.col("bin_j") - F.col("bin_i") >= low) & (F.col("bin_j") - F.col("bin_i") < high))
 
 
