@@ -15,10 +15,7 @@ from pyspark.sql import SparkSession
 import workloads
 from workloads.base import STORED
 
-HEADLINE = [
-    "assign_pair_id", "contact_filter", "evidence_counts", "reproducibility_summary", "replicate_support", "annotate_anchors",
-    "classification_metrics", "exact_quantiles", "conditional_ll", "topk_overlap_neighbour", "catalog_support", "adaptive_smooth",
-]
+HEADLINE = ["contacts_to_pixels", "route_contacts", "family_half_counts", "evidence_counts", "reproducibility_summary", "overlap_mean"]
 
 
 def main() -> None:
