@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactspark.operators.ordered import checkpointed
+from contactspark.operators.ordered import checkpointed, use_checkpoints
 
 # a side of a join is broadcast only below this measured size
 BROADCAST_BYTES = 32 << 20
@@ -71,3 +72,17 @@ def over_batches(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch |
                 yield out
 
     return run
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Rows written once as Parquet to the shared checkpoint folder and read back; for wide tables that are read by column.
+
+    The files go when the session's file system is closed.
+    """
+    spark = df.sparkSession
+    use_checkpoints(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/written-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(folder)

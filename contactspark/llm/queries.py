@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactspark.llm import decontaminate, line_dedup, packing, quality_rules, simhash
-from contactspark.llm.common import table
+from contactspark.llm import (
+    decontaminate, html_text, language_id, line_dedup, lm_scoring, packing, quality_classifier, quality_rules, simhash, token_counts,
+)
+from contactspark.llm.common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,12 +48,29 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), "text")
 
 
+@query("op2_lm_scoring")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Cross-entropy difference of every document; the target is what ``labels`` calls good."""
+    good = table(spark, folder, "labels").where("quality = 1").select("doc_id")
+    return lm_scoring.scored(table(spark, folder, "documents"), good)
+
+
 @query("op3_decontaminate")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a benchmark item, one row per document and item."""
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("text_hash")
 
 
+@query("op4_quality_classifier")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_classifier.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op5_token_counts")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.counted(table(spark, folder, "documents"))
+
+
 @query("op6_packing")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents"))
@@ -97,7 +116,15 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op8_simhash")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
-    from contactspark.llm.common import stored
-
     found = simhash.groups(stored(simhash.with_fingerprints(table(spark, folder, "documents"))))
     return found.select("doc_id", simhash.hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+@query("op9_html_text")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extracted(table(spark, folder, "pages"))
+
+
+@query("op10_language_id")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.predicted(table(spark, folder, "documents"))
