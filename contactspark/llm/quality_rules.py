@@ -34,7 +34,7 @@ class Measure:
 
 MEASURES = (Measure("symbol_rate", 100), Measure("word_length", 1500, True), Measure("dup_line_rate", 300), Measure("repeat_rate", 150))
 SPREADS = 3  # a fence lies so many quartile distances outside the quartile
-PRIOR_DOCS = 200  # documents that the fences of the whole language count as, beside those of the source
+PRIOR_DOCS = 20  # documents that the fences of the whole language count as, beside those of the source
 
 
 def _repeated_words(words: Column) -> Column:

@@ -99,8 +99,8 @@ ql as (select lang, m, min(b) filter (4 * upto >= total) as q1, min(b) filter (4
   select *, sum(n) over (partition by lang, m order by b) as upto, sum(n) over (partition by lang, m) as total
   from (select lang, m, b, sum(n) as n from k group by all)) group by all),
 f as (select q.lang, q.source, q.m,
-  (docs * (q.q1 - 3 * (q.q3 - q.q1) - z) + 200 * (ql.q1 - 3 * (ql.q3 - ql.q1) - z)) / cast(docs + 200 as double) as low,
-  (docs * (q.q3 + 3 * (q.q3 - q.q1) + z) + 200 * (ql.q3 + 3 * (ql.q3 - ql.q1) + z)) / cast(docs + 200 as double) as high
+  (docs * (q.q1 - 3 * (q.q3 - q.q1) - z) + 20 * (ql.q1 - 3 * (ql.q3 - ql.q1) - z)) / cast(docs + 20 as double) as low,
+  (docs * (q.q3 + 3 * (q.q3 - q.q1) + z) + 20 * (ql.q3 + 3 * (ql.q3 - ql.q1) + z)) / cast(docs + 20 as double) as high
   from q join ql on q.lang is not distinct from ql.lang and q.m = ql.m join (values (1, 100), (2, 1500), (3, 300), (4, 150)) v(m, z) on q.m = v.m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and not exists (select 1 from f where f.lang is not distinct from t.lang and f.source is not distinct from t.source and (
