@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,40 +36,93 @@ LITERAL, NUMBER, NAME, UNIT = range(4)
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # fixed value: 2**64 over the golden ratio
 
 
-@lru_cache(maxsize=1 << 18)
-def _word(raw: bytes) -> tuple[str, int, bool, bool]:
-    """Core, kind apart from names, whether capitalised, whether a sentence ends behind it."""
+KNOWN = 500_000  # words whose properties a task remembers at once
+_NUMBER = re.compile(r"\d+(st|nd|rd|th|k|m|%s)?" % "|".join(sorted(UNITS, key=len, reverse=True)))
+_CAPITAL, _ENDS, _CORE = 4, 8, 16  # flags above the two bits of the kind
+
+
+def core_of(raw: bytes) -> str:
+    """Letters and digits of a word, lower case."""
     word = raw.decode("utf-8", "replace")
-    core = "".join(c for c in word if c.isalnum())
-    number = bool(re.fullmatch(r"\d+(st|nd|rd|th|k|m|%s)?" % "|".join(sorted(UNITS, key=len, reverse=True)), core.lower()))
-    first = next((c for c in word if c.isalnum()), "")
-    capital = first.isupper() and not (len(core) > 1 and core.isupper())
-    return core.lower(), NUMBER if number else UNIT if core.lower() in UNITS else LITERAL, capital, word.rstrip("\"')]}»”’")[-1:] in ".!?:"
+    return (word if word.isalnum() else "".join(filter(str.isalnum, word))).lower()
+
+
+class Words(dict):
+    """Numbers of words; ``hashes`` and ``flags`` hold the properties of each.  It starts anew when it is full."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes, self.flags = np.zeros(KNOWN, np.uint64), np.zeros(KNOWN, np.uint8)
+
+    def __missing__(self, raw: bytes) -> int:
+        word = raw.decode("utf-8", "replace")
+        core = word if word.isalnum() else "".join(filter(str.isalnum, word))
+        kind = 0
+        if core:
+            low = core.lower()
+            if low in UNITS:
+                kind = UNIT
+            elif not low.isalpha() and _NUMBER.fullmatch(low):
+                kind = NUMBER
+            kind |= _CORE
+            if core[0].isupper() and not (len(core) > 1 and core.isupper()):
+                kind |= _CAPITAL
+            self.hashes[len(self)] = xxhash.xxh64_intdigest(low.encode(), 1)
+        if not word[-1].isalnum() and word.rstrip("\"')]}»”’")[-1:] in (".", "!", "?", ":"):
+            kind |= _ENDS
+        self.flags[len(self)] = kind
+        self[raw] = at = len(self)
+        return at
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and flags of a list of words."""
+        hashes, flags = [], []
+        for start in range(0, len(words), KNOWN // 2):
+            part = words[start:start + KNOWN // 2]
+            if len(self) + len(part) > KNOWN:
+                self.clear()
+            at = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
+            hashes.append(self.hashes[at])
+            flags.append(self.flags[at])
+        return np.concatenate(hashes), np.concatenate(flags)
+
+
+@lru_cache(maxsize=1)
+def known_words() -> Words:
+    """What a worker process knows of words; later tasks of the process find it filled."""
+    return Words()
+
+
+def _split(text: bytes) -> list[bytes]:
+    """Words; a line end is a full stop of its own."""
+    return text.replace(b"\n", b" . ").split()
+
+
+def tokens(words: list[bytes], first: np.ndarray, known: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (among ``words``), hashes and kinds of the words with a letter or digit.
+
+    ``first`` marks the first word of each text.  A name is a capitalised word that no sentence or line starts with; a unit stands behind a number.
+    """
+    hashes, flags = known.of(words)
+    at = np.flatnonzero(flags & _CORE)
+    ends = np.cumsum((flags & _ENDS > 0) | np.concatenate([first[1:], [False]]))
+    kind = (flags[at] & 3).astype(np.int8)
+    before = np.concatenate([[-1], at[:-1]])
+    # a sentence or text has ended between the word before and this one
+    start = np.concatenate([[True], ends[at[1:] - 1] > np.where(before[1:] > 0, ends[before[1:] - 1], 0)]) if len(at) else np.zeros(0, bool)
+    behind = np.concatenate([[False], kind[:-1] == NUMBER])[:len(at)]
+    kind[(kind == UNIT) & ~behind] = LITERAL
+    kind[(kind == LITERAL) & (flags[at] & _CAPITAL > 0) & ~start] = NAME
+    return at, hashes[at], kind
 
 
 def tokens_of(text: bytes) -> tuple[list[str], list[int]]:
-    """Cores and kinds of a text's words; words without a letter or digit are passed over."""
-    cores, kinds, start = [], [], True
-    for line in text.split(b"\n"):
-        start = True
-        for raw in line.split():
-            core, kind, capital, ends = _word(raw)
-            if core:
-                if kind == UNIT and not (kinds and kinds[-1] == NUMBER):
-                    kind = LITERAL
-                if kind == LITERAL and capital and not start:
-                    kind = NAME
-                cores.append(core)
-                kinds.append(kind)
-            start = ends if core else start or ends
-    return cores, kinds
-
-
-@lru_cache(maxsize=1 << 18)
-def _hash(core: str) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(core.encode(), 1)
+    """Cores and kinds of one text's words."""
+    words = _split(text)
+    if not words:
+        return [], []
+    at, _, kind = tokens(words, np.arange(len(words)) == 0, Words())
+    return [core_of(words[i]) for i in at], kind.tolist()
 
 
 def _windows(values: np.ndarray, salt: int) -> np.ndarray:
@@ -81,46 +135,77 @@ def _windows(values: np.ndarray, salt: int) -> np.ndarray:
     return out
 
 
-def window_rows(text: bytes, bitmap: np.ndarray | None = None) -> list[tuple[int, int, list[str]]]:
-    """``(position, hash, slot values)`` of a text's windows, literal ones with no slots; only those in the bitmap if there is one."""
-    cores, kinds = tokens_of(text)
-    if len(cores) < WINDOW:
-        return []
-    literal = np.fromiter(map(_hash, cores), dtype=np.uint64, count=len(cores))
-    kind = np.array(kinds)
-    slots = np.convolve(kind > 0, np.ones(WINDOW, dtype=int), "valid")
+Windows = tuple[np.ndarray, np.ndarray, np.ndarray, list[list[str]]]  # number of the text, position in it, hash, slot values
+_CHUNK = 1 << 22  # bytes of text whose words are held at once
+
+
+def window_rows(batch: list[bytes], known: Words, bitmap: np.ndarray | None = None) -> Windows:
+    """Windows of all texts, literal ones with no slots; only those in the bitmap if there is one."""
+    out, start = [], 0
+    while start < len(batch):
+        end, size = start, 0
+        while end < len(batch) and (end == start or size + len(batch[end]) <= _CHUNK):
+            size += len(batch[end])
+            end += 1
+        out.append(_chunk_rows(batch[start:end], start, known, bitmap))
+        start = end
+    text, position, key = (np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(3))
+    return text, position, key, [s for o in out for s in o[3]]
+
+
+def _chunk_rows(batch: list[bytes], base: int, known: Words, bitmap: np.ndarray | None) -> Windows:
+    split = [_split(t) for t in batch]
+    words = [w for ws in split for w in ws]
+    sizes = np.array([len(ws) for ws in split])
+    first = np.zeros(len(words) + 1, bool)
+    first[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = True
+    none = np.zeros(0, np.int64)
+    if len(words) < WINDOW:
+        return none, none, none, []
+    at, literal, kind = tokens(words, first[:-1], known)
+    if len(at) < WINDOW:
+        return none, none, none, []
+    text = np.repeat(np.arange(len(batch)), sizes)[at]
+    place = np.arange(len(at)) - np.searchsorted(text, text)
+    n = len(at) - WINDOW + 1
+    whole = text[:n] == text[WINDOW - 1:]
+    slots = sum((kind[j:j + n] > 0).astype(np.int8) for j in range(WINDOW))
     plain = _windows(literal, 7)
-    shaped = _windows(np.where(kind > 0, kind.astype(np.uint64), literal), 11)
-    use_plain, use_shaped = np.ones(len(plain), bool), (slots > 0) & (slots <= WINDOW - LITERALS)
+    use_plain, use_shaped = whole, whole & (slots > 0) & (slots <= WINDOW - LITERALS)
+    shaped_at = np.flatnonzero(use_shaped)
+    shaped = _windows(np.where(kind > 0, kind.astype(np.uint64), literal), 11)[shaped_at]
     if bitmap is not None:
         low = np.uint64((1 << BITMAP_BITS) - 1)
-        use_plain &= bitmap[(plain & low).astype(np.int64)]
-        use_shaped &= bitmap[(shaped & low).astype(np.int64)]
-    rows = [(int(i), int(plain[i].view(np.int64)), []) for i in np.flatnonzero(use_plain)]
-    for i in np.flatnonzero(use_shaped):
-        rows.append((int(i), int(shaped[i].view(np.int64)), [cores[j] for j in range(i, i + WINDOW) if kinds[j]]))
-    return rows
+        use_plain = use_plain & bitmap[(plain & low).astype(np.int64)]
+        inside = bitmap[(shaped & low).astype(np.int64)]
+        shaped_at, shaped = shaped_at[inside], shaped[inside]
+    plain_at = np.flatnonzero(use_plain)
+    values = [[core_of(words[at[j]]) for j in range(i, i + WINDOW) if kind[j]] for i in shaped_at]
+    both = np.concatenate([plain_at, shaped_at])
+    return text[both] + base, place[both], np.concatenate([plain[plain_at], shaped]).view(np.int64), [[]] * len(plain_at) + values
 
 
 _SLOTS = pa.list_(pa.string())
 
 
-def _table(ids: list[pa.Array], names: list[str], found: list[list]) -> pa.RecordBatch:
-    at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-    flat = [row for rows in found for row in rows]
+def _table(ids: list[pa.Array], names: list[str], found: Windows) -> pa.RecordBatch:
+    text, position, key, slots = found
+    at = pa.array(text)
     return pa.RecordBatch.from_arrays(
-        [i.take(at) for i in ids] + [pa.array([r[0] for r in flat], pa.int64()), pa.array([r[1] for r in flat], pa.int64()), pa.array([r[2] for r in flat], _SLOTS)],
-        names=[*names, "position", "hash", "slots"])
+        [i.take(at) for i in ids] + [pa.array(position.astype(np.int64)), pa.array(key.astype(np.int64)), pa.array(slots, _SLOTS)], names=[*names, "position", "hash", "slots"])
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """``item_id, item_position, hash, item_slots, total`` (windows of the item).  Items of fewer than five tokens have none."""
 
     def make():
+        known = known_words()
+
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [window_rows(t) for t in texts(batch.column(1))]
-            total = pa.array([len({r[0] for r in f}) for f in found], pa.int64())
-            return _table([batch.column(0), total], ["item_id", "total"], found)
+            found = window_rows(texts(batch.column(1)), known)
+            place = found[0] * (found[1].max(initial=0) + 1) + found[1]
+            total = np.bincount(found[0][np.unique(place, return_index=True)[1]], minlength=batch.num_rows)
+            return _table([batch.column(0), pa.array(total)], ["item_id", "total"], found)
         return step
 
     read = columns_of(benchmark, item_id="long", text="string").where(F.col("text").isNotNull()).distinct()
@@ -141,11 +226,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bits = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap).tobytes())
 
     def make():
-        inside = np.unpackbits(np.frombuffer(bits.value, dtype=np.uint8)).astype(bool)
+        inside, known = np.unpackbits(np.frombuffer(bits.value, dtype=np.uint8)).astype(bool), known_words()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [window_rows(t, inside) for t in texts(batch.column(2))]
-            return _table([batch.column(0), batch.column(1)], ["doc_id", "text_hash"], found)
+            return _table([batch.column(0), batch.column(1)], ["doc_id", "text_hash"], window_rows(texts(batch.column(2)), known, inside))
         return step
 
     read = columns_of(docs, doc_id="long", text="string").where(F.col("text").isNotNull())
