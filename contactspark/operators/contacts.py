@@ -17,11 +17,17 @@ REASONS = ("malformed", "unmatched_barcode", "trans", "unknown_chrom", "distance
 
 
 def canonical_anchors(contacts: DataFrame, bin_size: int) -> DataFrame:
-    """Bin both ends and order them, so that ``bin_i <= bin_j`` and ``distance_bp`` is a bin multiple."""
+    """Bin both ends and order them by (chromosome name, bin), each bin with its own chromosome.
+
+    ``distance_bp`` is a bin multiple, null between two chromosomes.
+    """
     left, right = floor_to("pos1", bin_size), floor_to("pos2", bin_size)
-    return contacts.withColumns(
-        {"bin_i": F.least(left, right), "bin_j": F.greatest(left, right), "distance_bp": F.abs(left - right)}
-    )
+    cis = F.col("chrom1") == F.col("chrom2")
+    swap = (F.col("chrom1") > F.col("chrom2")) | (cis & (left > right))
+    return contacts.withColumns({
+        "bin_i": F.when(swap, right).otherwise(left), "bin_j": F.when(swap, left).otherwise(right), "distance_bp": F.when(cis, F.abs(left - right)),
+        "chrom1": F.when(swap, F.col("chrom2")).otherwise(F.col("chrom1")), "chrom2": F.when(swap, F.col("chrom1")).otherwise(F.col("chrom2")),
+    })
 
 
 def binned_contacts(contacts: DataFrame, bin_size: int, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -38,9 +44,16 @@ def repeated_barcodes(membership: DataFrame) -> DataFrame:
     return membership.groupBy(*CELL).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
 
 
+def unique_cells(membership: DataFrame) -> DataFrame:
+    """Cell, type and context per barcode; a barcode listed twice in a library is an error, as it would multiply records."""
+    rows = membership.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_rows"), F.min(F.struct("cell_id", "cell_type", "context_index")).alias("_c"))
+    once = F.when(F.col("_rows") == 1, F.col("_c.cell_id")).otherwise(F.raise_error(F.concat(F.lit("barcode listed twice: "), F.col("dna_barcode"))).cast("string"))
+    return rows.select(*CELL, once.alias("cell_id"), "_c.cell_type", "_c.context_index")
+
+
 def assign_context(binned: DataFrame, membership: DataFrame) -> DataFrame:
-    """Keep the records of member cells and attach their cell type and context."""
-    return binned.join(membership.select(*CELL, "cell_id", "cell_type", "context_index"), CELL)
+    """Keep the records of member cells and attach their cell type and context; a barcode listed twice is an error."""
+    return binned.join(unique_cells(membership), CELL)
 
 
 def classify(binned: DataFrame, membership: DataFrame, pairs: DataFrame, chroms: list[str], low: int, high: int) -> DataFrame:
@@ -77,10 +90,10 @@ def restrict_to_universe(binned: DataFrame, pairs: DataFrame) -> tuple[DataFrame
 
 
 def contacts_to_pixels(contacts: DataFrame, bin_size: int, groups: tuple[str, ...] = ()) -> DataFrame:
-    """Counts per bin pair; their sum is the number of records read."""
+    """Counts per bin pair (``chrom`` and ``chrom2`` hold ``bin_i`` and ``bin_j``); their sum is the number of records read."""
     return (
         canonical_anchors(contacts, bin_size)
-        .groupBy(*groups, F.col("chrom1").alias("chrom"), "bin_i", "bin_j")
+        .groupBy(*groups, F.col("chrom1").alias("chrom"), "chrom2", "bin_i", "bin_j")
         .agg(F.count(F.lit(1)).alias("count"))
     )
 
@@ -90,15 +103,15 @@ def coarsen_pixels(pixels: DataFrame, bin_size: int, factor: int) -> DataFrame:
     if int(factor) != factor or factor < 1:
         raise ValueError("factor must be a whole number of at least 1")
     wide = bin_size * int(factor)
-    return pixels.groupBy("chrom", floor_to("bin_i", wide).alias("bin_i"), floor_to("bin_j", wide).alias("bin_j")).agg(
+    return pixels.groupBy("chrom", "chrom2", floor_to("bin_i", wide).alias("bin_i"), floor_to("bin_j", wide).alias("bin_j")).agg(
         F.sum("count").alias("count")
     )
 
 
 def pixel_mass(pixels: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Total of the pixels whose bin pair is in the candidate set, and of all pixels."""
-    keys = pairs.select(*PAIR, F.lit(True).alias("_hit"))
-    return pixels.join(keys, PAIR, "left").agg(
+    """Total of the pixels whose bin pair is in the candidate set, which lies within chromosomes, and of all pixels."""
+    keys = pairs.select(*PAIR, F.col("chrom").alias("chrom2"), F.lit(True).alias("_hit"))
+    return pixels.join(keys, [*PAIR, "chrom2"], "left").agg(
         F.coalesce(F.sum(F.when(F.col("_hit"), F.col("count"))), F.lit(0)).cast("long").alias("universe_mass"),
         F.sum("count").cast("long").alias("total_mass"),
     )
@@ -106,15 +119,17 @@ def pixel_mass(pixels: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def with_genome_bins(pixels: DataFrame, chrom_bins: DataFrame, bin_size: int) -> DataFrame:
     """Number bins over the whole genome: ``chrom_bins`` holds each chromosome's ``first_bin``."""
-    return pixels.join(chrom_bins.select("chrom", "first_bin"), "chrom").select(
-        (F.col("first_bin") + fdiv("bin_i", bin_size)).alias("bin1_id"),
-        (F.col("first_bin") + fdiv("bin_j", bin_size)).alias("bin2_id"),
-        "count",
-    )
+    second = chrom_bins.select(F.col("chrom").alias("chrom2"), F.col("first_bin").alias("_second"))
+    a, b = F.col("first_bin") + fdiv("bin_i", bin_size), F.col("_second") + fdiv("bin_j", bin_size)
+    return pixels.join(chrom_bins.select("chrom", "first_bin"), "chrom").join(second, "chrom2").select(
+        F.least(a, b).alias("bin1_id"), F.greatest(a, b).alias("bin2_id"), "count")
 
 
 def route_contacts(contacts: DataFrame, membership: DataFrame) -> DataFrame:
-    """Every record of a member cell twice: under its cell type and under ``all_cells``."""
+    """Every record of a member cell twice: under its cell type and under ``all_cells``.
+
+    To store them, write the member records once by cell type (``tables.write_routed``).
+    """
     routed = contacts.join(membership.select(*CELL, "cell_type"), CELL)
     return routed.withColumn("output_id", F.explode(F.array(F.col("cell_type"), F.lit("all_cells"))))
 
@@ -135,23 +150,40 @@ def route_family_half(contacts: DataFrame, assignments: DataFrame, families: Dat
     """Four-column records of one half of one split, under each family that holds the cell type.
 
     ``contacts`` carries the file's own ``cell_type``; rows that disagree with the
-    assignment are dropped here and counted by ``cell_type_mismatches``.
+    assignment are dropped here and counted by ``cell_type_mismatches``.  A record without its
+    four fields is an error, and so is a family without a single cell.
     """
+    whole = F.col("chrom1").isNotNull() & F.col("pos1").isNotNull() & F.col("chrom2").isNotNull() & F.col("pos2").isNotNull()
+    contacts = contacts.withColumn("chrom1", F.when(whole, F.col("chrom1")).otherwise(F.raise_error(F.lit("malformed record")).cast("string")))
     cells = assignments.filter((F.col("split") == split) & (F.col("half") == half)).select(
         *CELL, F.col("cell_type").alias("assigned_type")
     )
     groups = families.select(F.col("output_id").alias("family"), F.col("member").alias("assigned_type"))
     return (
-        contacts.join(cells.join(groups, "assigned_type"), CELL)
+        contacts.join(cells.join(filled_families(groups, cells), "assigned_type"), CELL)
         .filter(F.col("cell_type") == F.col("assigned_type"))
         .select("family", "chrom1", "pos1", "chrom2", "pos2")
     )
 
 
+def filled_families(groups: DataFrame, cells: DataFrame) -> DataFrame:
+    """Rows ``family, assigned_type``; a family none of whose types has a cell is an error."""
+    types = cells.select("assigned_type").distinct().withColumn("_has", F.lit(1))
+    held = groups.join(types, "assigned_type", "left").groupBy("family").agg(F.count("_has").alias("_cells"), F.collect_set("assigned_type").alias("_types"))
+    name = F.when(F.col("_cells") > 0, F.col("family")).otherwise(F.raise_error(F.concat(F.lit("family without cells: "), F.col("family"))).cast("string"))
+    return held.select(name.alias("family"), F.explode("_types").alias("assigned_type"))
+
+
 def family_half_counts(contacts: DataFrame, assignments: DataFrame, families: DataFrame, split: int) -> DataFrame:
-    """Records of halves A and B per family for one split, an empty half included as 0."""
-    per_cell = contacts.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"))
+    """Records of halves A and B per family for one split, an empty half included as 0.
+
+    Where records declare a cell type, those that disagree with the assignment are left out, as in ``route_family_half``.
+    """
+    declared = ["cell_type"] if "cell_type" in contacts.columns else []
+    per_cell = contacts.groupBy(*CELL, *[F.col(c).alias("_declared") for c in declared]).agg(F.count(F.lit(1)).alias("n"))
     cells = assignments.filter(F.col("split") == split).select(*CELL, "cell_type", "half")
+    if declared:
+        per_cell = per_cell.join(cells, CELL).filter("_declared = cell_type").select(*CELL, "n")
     groups = families.select(F.col("output_id").alias("family"), F.col("member").alias("cell_type"))
     per_type = per_cell.join(cells, CELL).groupBy("cell_type", "half").agg(F.sum("n").alias("n"))
     return (

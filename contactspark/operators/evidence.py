@@ -2,54 +2,37 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from contactspark.functions.draws import uniform
 from contactspark.functions.scalars import fdiv, fraction_k
+from contactspark.operators.contacts import CELL, PAIR, canonical_anchors, unique_cells
 from contactspark.operators.ordered import numbered
 
-CELL = ["library_id", "dna_barcode"]
 
-
-def balanced_halves(membership: DataFrame, splits: int, seed: int, block_cells: int = 4096) -> DataFrame:
+def balanced_halves(membership: DataFrame, splits: int, seed: int) -> DataFrame:
     """Split the cells of each context into two depth-balanced halves, ``splits`` times.
 
-    Cells of a library are ordered by depth and taken in neighbouring pairs; each
-    pair sends one cell to either half, turned so that the depth gap shrinks; a
-    last odd cell joins the lighter half.  The running gap is kept per block of
-    ``block_cells`` neighbouring cells, so no context has to fit in one task.
+    Cells of a library are ordered by depth and taken in neighbouring pairs, a last odd
+    cell by itself; each pair sends one cell to either half.  Pairs are turned in couples,
+    numbered through all libraries of a context: the second of a couple is turned against
+    the first, which an md5 bit of seed, split, context and couple turns.  The gap between
+    the halves is then at most the sum of the libraries' depth ranges and odd cells,
+    however many cells there are.
     """
     order = [("valid_pairs", True), ("cell_id", False)]
-    placed = numbered(membership.select(*CELL, "cell_id", "cell_type", "context_index", "valid_pairs"),
-                      ["context_index", "library_id"], order, "_place")
-    blocks = placed.withColumn("_block", fdiv(F.col("_place") - 1, block_cells))
-
-    def orient(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_place", kind="stable")
-        depth = pdf["valid_pairs"].to_numpy()
-        keys = pd.util.hash_pandas_object(pdf["cell_id"], index=False).to_numpy()
-        out = []
-        for split in range(splits):
-            half = [""] * len(pdf)
-            gap = 0  # depth of A minus depth of B
-            mixed = keys ^ ((seed * 1_000_003 + split * 7_919 + 1) & (2**63 - 1))
-            shuffled = pd.util.hash_array(mixed)
-            firsts = sorted(range(0, len(pdf) - 1, 2), key=lambda p: shuffled[p])
-            for p in firsts:
-                step = depth[p] - depth[p + 1]
-                straight, turned = abs(gap + step), abs(gap - step)
-                turn = turned < straight or (turned == straight and shuffled[p + 1] % 2 == 1)
-                half[p], half[p + 1] = ("B", "A") if turn else ("A", "B")
-                gap += -step if turn else step
-            if len(pdf) % 2:
-                half[-1] = "B" if gap > 0 else "A"
-            out.append(pdf.drop(columns=["_place", "_block", "valid_pairs"]).assign(split=split, half=half))
-        return pd.concat(out, ignore_index=True)
-
-    schema = "library_id string, dna_barcode string, cell_id string, cell_type string, context_index int, split int, half string"
-    return blocks.groupBy("context_index", "library_id", "_block").applyInPandas(orient, schema)
+    keys = ["context_index", "library_id"]
+    placed = numbered(membership.select(*CELL, "cell_id", "cell_type", "context_index", "valid_pairs"), keys, order, "_place")
+    pairs = membership.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / 2).alias("_n"))
+    before = W.partitionBy("context_index").orderBy("library_id").rowsBetween(W.unboundedPreceding, -1)  # one row per library
+    first = pairs.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    pair = F.col("_first") + fdiv(F.col("_place") - 1, 2)
+    rows = placed.join(first, keys).select("*", pair.alias("_pair"), F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("split"))
+    turned = uniform(seed, "split", "context_index", fdiv("_pair", 2)) < 0.5
+    second = (F.col("_place") % 2 == 0) != (F.col("_pair") % 2 == 1)
+    return rows.select(*CELL, "cell_id", "cell_type", "context_index", "split", F.when(second != turned, "B").otherwise("A").alias("half"))
 
 
 def half_summary(assignments: DataFrame, membership: DataFrame) -> DataFrame:
@@ -73,6 +56,35 @@ def _with_half_mask(records: DataFrame, assignments: DataFrame, splits: int) ->
     return records.join(mask.withColumn("_mask", complete).drop("_splits"), CELL)
 
 
+def cell_masks(membership: DataFrame, assignments: DataFrame, splits: int) -> DataFrame:
+    """One row per cell: ``library_id, dna_barcode, context_index, _mask``; bit ``s`` is set when the cell is in half A of split ``s``."""
+    return _with_half_mask(unique_cells(membership).select(*CELL, "context_index"), assignments, splits)
+
+
+def pair_sums(contacts: DataFrame, cells: DataFrame, pairs: DataFrame, splits: int, *, bin_size: int, low: int, high: int) -> DataFrame:
+    """``context_index, pair_id, full_count, a_by_split`` from raw records.
+
+    Records outside the distance range go at the scan.  Each is then given its context and halves from the one cell table and summed by
+    context and bin pair: the only shuffle of records, with partial sums before it.  The universe is joined to the sums.
+    """
+    near = canonical_anchors(contacts, bin_size).filter((F.col("distance_bp") >= low) & (F.col("distance_bp") < high)).join(cells, CELL)
+    half = [F.sum(F.shiftright(F.col("_mask"), s).bitwiseAND(F.lit(1))) for s in range(splits)]
+    sums = near.groupBy("context_index", F.col("chrom1").alias("chrom"), "bin_i", "bin_j").agg(F.count(F.lit(1)).alias("full_count"), F.array(*half).alias("a_by_split"))
+    return sums.join(pairs.select(*PAIR, "pair_id"), PAIR).select("context_index", "pair_id", "full_count", "a_by_split")
+
+
+def pool_splits(sums: DataFrame, outputs: DataFrame, splits: int) -> DataFrame:
+    """Halves of every split per output: ``output_id, output_type, split, pair_id, counts_a, counts_b``.
+
+    Outputs sum the arrays of their members; only the pooled arrays become rows.
+    """
+    half = [F.sum(F.col("a_by_split")[s]) for s in range(splits)]
+    pooled = sums.join(outputs.select("output_id", "output_type", "context_index"), "context_index").groupBy("output_id", "output_type", "pair_id").agg(
+        F.sum("full_count").alias("full_count"), F.array(*half).alias("a_by_split"))
+    return pooled.select("output_id", "output_type", "pair_id", "full_count", F.posexplode("a_by_split").alias("split", "counts_a")).select(
+        "output_id", "output_type", "split", "pair_id", "counts_a", (F.col("full_count") - F.col("counts_a")).alias("counts_b"))
+
+
 def _half_sums(records: DataFrame, assignments: DataFrame, splits: int) -> DataFrame:
     masked = _with_half_mask(records, assignments, splits)
     sums = [F.sum(F.when(F.shiftright(F.col("_mask"), s).bitwiseAND(F.lit(1)) == 1, F.col("n")).otherwise(0)) for s in range(splits)]
@@ -85,7 +97,11 @@ def evidence_counts(records: DataFrame, assignments: DataFrame, splits: int, pri
     ``records`` holds ``(library_id, dna_barcode, context_index, pair_id, n)``.  All
     splits are summed in one pass over one shuffle; rows do not multiply.
     """
-    wide = _half_sums(records, assignments, splits)
+    return counts_of(_half_sums(records, assignments, splits), primary)
+
+
+def counts_of(wide: DataFrame, primary: int = 0) -> DataFrame:
+    """Counts of all cells and of the primary split, and splits seen in both halves, from ``pair_sums``."""
     both = F.size(F.filter("a_by_split", lambda a: (a > 0) & (a < F.col("full_count"))))
     return wide.select(
         "context_index", "pair_id", "full_count",
@@ -97,7 +113,11 @@ def evidence_counts(records: DataFrame, assignments: DataFrame, splits: int, pri
 
 def split_counts(records: DataFrame, assignments: DataFrame, splits: int) -> DataFrame:
     """Halves of every split as rows ``(context_index, pair_id, split, counts_a, counts_b)``."""
-    wide = _half_sums(records, assignments, splits)
+    return splits_of(_half_sums(records, assignments, splits))
+
+
+def splits_of(wide: DataFrame) -> DataFrame:
+    """The same rows from ``pair_sums``."""
     return wide.select("context_index", "pair_id", "full_count", F.posexplode("a_by_split").alias("split", "counts_a")).select(
         "context_index", "pair_id", "split", "counts_a", (F.col("full_count") - F.col("counts_a")).alias("counts_b")
     )
@@ -127,12 +147,20 @@ def output_depths(contexts: DataFrame, outputs: DataFrame) -> DataFrame:
 
 
 def complement_counts(counts: DataFrame, outputs: DataFrame, contexts: list[int], value: str = "counts_b") -> DataFrame:
-    """Per output, the counts of all configured contexts outside it; outputs that hold every context have none."""
-    every = F.array(*[F.lit(c).cast("int") for c in contexts])
-    members = outputs.groupBy("output_id").agg(F.collect_set(F.col("context_index").cast("int")).alias("_in"))
-    outside = members.select("output_id", F.explode(F.array_except(every, F.col("_in"))).alias("context_index"))
-    return counts.filter(F.col(value) > 0).join(outside, "context_index").groupBy("output_id", "pair_id").agg(
-        F.sum(value).alias("other_count"))
+    """Per output, the counts of all configured contexts outside it; outputs that hold every context have none.
+
+    The total of each pair minus the output's own part: rows are as many as pairs times outputs that leave something out.
+    """
+    configured = counts.filter((F.col(value) > 0) & F.col("context_index").isin(contexts))
+    every = configured.groupBy("pair_id").agg(F.sum(value).alias("_total"))
+    members = outputs.filter(F.col("context_index").isin(contexts)).select("output_id", "context_index").distinct()
+    own = configured.join(members, "context_index").groupBy("output_id", "pair_id").agg(F.sum(value).alias("_own"))
+    # a short list: one row per output
+    partial = members.groupBy("output_id").agg(F.count(F.lit(1)).alias("_held")).filter(F.col("_held") < len(set(contexts))).select("output_id")
+    listed = partial.agg(F.collect_set("output_id").alias("_ids"))
+    rows = every.join(F.broadcast(listed)).select("pair_id", "_total", F.explode("_ids").alias("output_id"))
+    return rows.join(own, ["output_id", "pair_id"], "left").select(
+        "output_id", "pair_id", (F.col("_total") - F.coalesce("_own", F.lit(0))).alias("other_count")).filter("other_count > 0")
 
 
 def _positions(counts: DataFrame, column: str, groups: list[str]) -> DataFrame:
@@ -223,8 +251,6 @@ def thin_counts(counts: DataFrame, keys: list[str], item: str, value: str, depth
     ordered part small: only events of the one prefix that the total falls in are
     ordered, all earlier prefixes are kept whole.
     """
-    from contactspark.functions.draws import uniform
-
     unit = counts.filter(F.col(value) > 0).select(
         *keys, item, F.explode(F.sequence(F.lit(1).cast("long"), F.col(value).cast("long"))).alias("_event")
     ).withColumn("_u", uniform(seed, *keys, item, "_event")).withColumn("_prefix", F.floor(F.col("_u") * 4096))

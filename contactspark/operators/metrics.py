@@ -224,12 +224,15 @@ def supported_context_coverage(counts: DataFrame, contexts: int, minimum: int, f
 
 
 def bh_adjust(tests: DataFrame, p: str = "p_value", groups: tuple[str, ...] = ()) -> DataFrame:
-    """False-discovery adjusted p values of a table of tests (outputs times bands, so small)."""
-    checked = tests.withColumn("_p", F.when(F.col(p).between(0, 1), F.col(p)).otherwise(F.raise_error(F.lit("p outside [0, 1]")).cast("double")))
+    """False-discovery adjusted p values of a table of tests (outputs times bands, so small).
+
+    A null p value is no test: it counts nowhere and stays null.
+    """
+    checked = tests.withColumn("_p", F.when(F.col(p).isNull() | F.col(p).between(0, 1), F.col(p)).otherwise(F.raise_error(F.lit("p outside [0, 1]")).cast("double")))
     w = W.partitionBy(*groups)
-    raw = checked.withColumn("_r", F.row_number().over(w.orderBy("_p"))).withColumn("_q", F.col("_p") * F.count(F.lit(1)).over(w) / F.col("_r"))
+    raw = checked.withColumn("_r", F.row_number().over(w.orderBy(F.col("_p").asc_nulls_last()))).withColumn("_q", F.col("_p") * F.count("_p").over(w) / F.col("_r"))
     down = w.orderBy(F.col("_r").desc()).rowsBetween(W.unboundedPreceding, 0)
-    return raw.withColumn("adjusted_p", F.least(F.min("_q").over(down), F.lit(1.0))).drop("_p", "_r", "_q")
+    return raw.withColumn("adjusted_p", F.when(F.col("_p").isNotNull(), F.least(F.min("_q").over(down), F.lit(1.0)))).drop("_p", "_r", "_q")
 
 
 def best_epoch(history: DataFrame, groups: list[str], loss: str, epoch: str = "epoch") -> DataFrame:

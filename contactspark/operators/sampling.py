@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from contactspark.functions.draws import integer_below
+from contactspark.functions.draws import integer_below, uniform
 from contactspark.functions.scalars import fdiv, softplus
-from contactspark.operators.ordered import average_ranks, numbered
+from contactspark.operators.ordered import average_ranks, numbered, running_totals
 
 
 def with_match_buckets(pairs: DataFrame, count: str, score: str, groups: tuple[str, ...] = ("distance_band",)) -> DataFrame:
@@ -61,7 +61,7 @@ def draw_controls(positives: DataFrame, pairs: DataFrame, broad_count: int, matc
     keys = list(dict.fromkeys(BROAD + MATCHED))
     base = pairs.select("pair_id", *keys)
     broad = group_pools(base, BROAD, bounded=False).withColumnsRenamed({"position": "broad_pos", "pool_size": "broad_size"})
-    matched = group_pools(base, MATCHED).withColumnsRenamed({"position": "matched_pos", "pool_size": "matched_size"})
+    matched = group_pools(base, MATCHED, bounded=False).withColumnsRenamed({"position": "matched_pos", "pool_size": "matched_size"})
     placed = base.join(broad.select("pair_id", "broad_pos", "broad_size"), "pair_id").join(
         matched.select("pair_id", "matched_pos", "matched_size"), "pair_id")
     focal = positives.join(placed, "pair_id").withColumn(
@@ -172,7 +172,7 @@ def matched_negatives(pairs: DataFrame, label: str, near: str, seed: int) -> Dat
     out = pairs.filter(F.col(label)).select("pair_id", *common, "distance_bp", "distance_50kb")
     pools = []
     for name, keys in tiers:
-        pool = group_pools(negatives, keys, bounded=name == "exact_10kb")
+        pool = group_pools(negatives, keys, bounded=False)
         sizes = pool.select(*keys, F.col("pool_size").alias(f"size_{name}")).distinct()
         out = out.join(sizes, keys, "left")
         pools.append((name, keys, pool.select(*keys, "position", F.col("pair_id").alias("negative_id"))))
@@ -188,17 +188,18 @@ def matched_negatives(pairs: DataFrame, label: str, near: str, seed: int) -> Dat
 
 
 def pack_groups(sizes: DataFrame, maximum: int, seed: int, key: str) -> DataFrame:
-    """Whole groups packed into batches of about ``maximum`` rows, in a seeded order.
+    """Whole groups packed into batches of at most ``maximum`` rows, in a seeded order; a larger group is a batch of its own.
 
-    A batch is the interval of the running size that a group starts in, so batches are
-    found by prefix sums; a batch exceeds the maximum by less than one group.
+    A batch holds the groups whose start lies in one interval of the running size.  The interval is as wide as the maximum less the
+    largest group that fits, so that no batch exceeds the maximum, and batches are found by prefix sums.
     """
-    from contactspark.functions.draws import uniform
-    from contactspark.operators.ordered import running_totals
-
-    shuffled = sizes.withColumn("_u", uniform(seed, key))
-    run = running_totals(shuffled, [], [("_u", False), (key, False)], {"_upto": "rows"})
-    return run.select(key, "rows", fdiv(F.col("_upto") - F.col("rows"), maximum).alias("batch"))
+    alone = F.col("rows") > maximum
+    largest = sizes.filter(~alone).agg(F.max("rows").alias("_largest"))
+    width = F.greatest(F.lit(maximum) - F.coalesce("_largest", F.lit(0)), F.lit(1))
+    shuffled = sizes.join(F.broadcast(largest)).withColumns({"_u": uniform(seed, key), "_fits": F.when(alone, 0).otherwise(F.col("rows")), "_alone": alone.cast("long")})
+    run = running_totals(shuffled, [], [("_u", False), (key, False)], {"_upto": "_fits", "_large": "_alone"})
+    batch = F.when(F.col("_alone") == 0, fdiv(F.col("_upto") - F.col("_fits"), width)).otherwise(-F.col("_large"))
+    return run.select(key, "rows", batch.cast("long").alias("batch"))
 
 
 def controls_join(groups: DataFrame, scores: DataFrame) -> DataFrame:

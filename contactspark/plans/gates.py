@@ -72,13 +72,25 @@ def concordance_gate(same: DataFrame, cross: DataFrame, power: DataFrame, bands:
         "output_id", (F.col("_ok") & _known(F.col("_power"))).alias("passed"))
 
 
-def extension_gate(tests: DataFrame, *, fdr: float = 0.05) -> DataFrame:
+METRICS = ("likelihood", "top_contact")
+COMPARISONS = ("onehot_vs_shared", "rna_vs_shared", "rna_vs_onehot", "rna_vs_swapped", "rna_vs_permuted")
+
+
+def extension_gate(tests: DataFrame, bands: list[str] | None = None, *, fdr: float = 0.05) -> DataFrame:
     """Which context model an output may use.
 
     ``tests`` holds ``output_id, distance_band, metric, comparison, point, lower, adjusted_p`` with the five
     comparisons of the label and expression models.  Expression is preferred and must also
-    beat the label model, the swapped and the permuted control.
+    beat the label model, the swapped and the permuted control, in every one of ``bands`` (those of
+    the table if none are named) and in both metrics: a test that is absent fails.
     """
+    keys = ["output_id", "distance_band", "metric", "comparison"]
+    grid = tests.select("distance_band").distinct() if bands is None else tests.sparkSession.createDataFrame([(b,) for b in bands], "distance_band string")
+    # short tables: outputs, bands, two metrics and five comparisons; an absent test is a row of nulls, which fails
+    names = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(c).alias("comparison")) for m in METRICS for c in COMPARISONS])).alias("_n")
+    full = tests.select("output_id").distinct().crossJoin(grid).select("output_id", "distance_band", names).select("output_id", "distance_band", "_n.metric", "_n.comparison")
+    tests = full.join(tests, keys, "left")
+
     def all_of(comparison: str, rule: Column) -> Column:
         hit = F.col("comparison") == comparison
         return F.coalesce(F.bool_and(F.when(hit, _known(rule))), F.lit(False))

@@ -46,10 +46,15 @@ def write_table(df: DataFrame, path: str, partitions: tuple[str, ...] = (), mode
     (out.partitionBy(*partitions) if partitions else out).parquet(path)
 
 
-def write_routed(routed: DataFrame, path: str, by: str = "output_id") -> None:
-    """One folder per output.  Rows spread over (output, library) first, so that one large output is many files."""
-    routed.repartition(by, "library_id", F.pmod(F.xxhash64("dna_barcode"), F.lit(32))).write.mode("overwrite").option(
-        "compression", "zstd").partitionBy(by).parquet(path)
+def write_routed(members: DataFrame, path: str, by: str = "cell_type") -> None:
+    """One folder per cell type, each record once; Spark splits a large folder into as many files as its size asks for."""
+    members.hint("rebalance", F.col(by)).write.mode("overwrite").option("compression", "zstd").partitionBy(by).parquet(path)
+
+
+def read_routed(spark: SparkSession, path: str, output: str = "all_cells", by: str = "cell_type") -> DataFrame:
+    """The records of one output; ``all_cells`` is all folders together."""
+    df = spark.read.parquet(path)
+    return df if output == "all_cells" else df.filter(F.col(by) == output)
 
 
 def without_infinities(df: DataFrame) -> DataFrame:

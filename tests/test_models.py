@@ -138,11 +138,10 @@ def cells(spark, n=301):
     return spark.createDataFrame(rows, "library_id string, dna_barcode string, cell_id string, cell_type string, context_index int, valid_pairs long")
 
 
-@pytest.mark.parametrize("block", [4096, 16])
-def test_halves_are_balanced_disjoint_and_repeatable(spark, block):
+def test_halves_are_balanced_disjoint_and_repeatable(spark):
     df = cells(spark)
-    one = evidence.balanced_halves(df.repartition(1), 4, 11, block).toPandas()
-    two = evidence.balanced_halves(df.repartition(8), 4, 11, block).toPandas()
+    one = evidence.balanced_halves(df.repartition(1), 4, 11).toPandas()
+    two = evidence.balanced_halves(df.repartition(8), 4, 11).toPandas()
     key = ["cell_id", "split"]
     pd.testing.assert_frame_equal(one.sort_values(key).reset_index(drop=True), two.sort_values(key).reset_index(drop=True))
     assert len(one) == 301 * 4 and not one.duplicated(key).any() and set(one["half"]) == {"A", "B"}
@@ -154,6 +153,28 @@ def test_halves_are_balanced_disjoint_and_repeatable(spark, block):
     assert patterns.nunique() > 4
 
 
+def test_gap_does_not_grow_with_cells(spark):
+    for n in (50, 3000):
+        df = cells(spark, n)
+        halves = evidence.balanced_halves(df, 6, 5).join(df.select("cell_id", "valid_pairs"), "cell_id").toPandas()
+        for _, part in halves.groupby(["context_index", "split"]):
+            by = part.groupby("half")["valid_pairs"].sum()
+            assert abs(by["A"] - by["B"]) <= 3 * 2 * 1001
+
+
+def test_quantiles_have_no_limit():
+    one = np.array([1.0])
+    assert fit._nb_quantile(one, one * 20_000, one - 1e-12)[0] > 200_000
+    draw = np.random.default_rng(1)
+    mean, dispersion, target = np.exp(draw.uniform(-3, 6, 60)), np.exp(draw.uniform(-5, 1, 60)), draw.uniform(0.01, 0.999, 60)
+    for m, d, t, got in zip(mean, dispersion, target, fit._nb_quantile(mean, dispersion, target)):
+        size, total, k = 1 / d, 0.0, -1
+        while total < t:
+            k += 1
+            total += math.exp(math.lgamma(k + size) - math.lgamma(size) - math.lgamma(k + 1) + size * math.log(size / (size + m)) + k * math.log(m / (size + m)))
+        assert got == k
+
+
 def test_thinning_is_exact(spark):
     rows = [("hot", i, 1 + i % 9) for i in range(3000)] + [("small", i, 2) for i in range(5)]
     df = spark.createDataFrame(rows, "g string, pair_id long, n long")

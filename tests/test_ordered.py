@@ -2,6 +2,8 @@
 
 import numpy as np
 import pandas as pd
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,10 +103,15 @@ def test_bh(spark):
     got = metrics.bh_adjust(spark.createDataFrame([(i, v) for i, v in enumerate(p)], "i int, p_value double")).toPandas().sort_values("i")["adjusted_p"]
     assert list(got) == pytest.approx([0.05, 0.05, 0.05, 1.0, 0.05])
     assert metrics.bh_adjust(spark.createDataFrame([], "i int, p_value double")).count() == 0
+    got = metrics.bh_adjust(spark.createDataFrame([(i, v) for i, v in enumerate([*p, None])], "i int, p_value double")).toPandas().sort_values("i")["adjusted_p"]
+    assert list(got)[:5] == pytest.approx([0.05, 0.05, 0.05, 1.0, 0.05]) and math.isnan(list(got)[5])
 
 
 def test_pack_groups_keeps_groups_whole(spark):
     sizes = spark.createDataFrame([(f"g{i}", 1 + i % 7) for i in range(200)], "key string, rows long")
     got = sampling.pack_groups(sizes, 20, 3, "key").toPandas()
     assert len(got) == 200 and got["key"].is_unique
-    assert got.groupby("batch")["rows"].sum().max() < 20 + 7
+    assert got.groupby("batch")["rows"].sum().max() <= 20
+    sevens = spark.createDataFrame([(f"g{i}", 7 if i else 50) for i in range(40)], "key string, rows long")
+    got = sampling.pack_groups(sevens, 20, 3, "key").toPandas()
+    assert sorted(got.groupby("batch")["rows"].sum())[-1] == 50 and sorted(got.groupby("batch")["rows"].sum())[-2] <= 20

@@ -88,9 +88,10 @@ def test_writers(spark, tmp_path):
     tables.write_table(df, f"{tmp_path}/t", ("k",))
     assert tables.scan(spark, f"{tmp_path}/t", ["n"]).count() == 2
     assert "ReadSchema: struct<n:int>" in tables.scan(spark, f"{tmp_path}/t", ["n"])._jdf.queryExecution().toString()
-    routed = spark.createDataFrame([("x", "DNA01", str(i)) for i in range(50)], "output_id string, library_id string, dna_barcode string")
+    routed = spark.createDataFrame([("xy"[i % 2], "DNA01", str(i)) for i in range(50)], "cell_type string, library_id string, dna_barcode string")
     tables.write_routed(routed, f"{tmp_path}/r")
-    assert spark.read.parquet(f"{tmp_path}/r").count() == 50
+    assert tables.read_routed(spark, f"{tmp_path}/r").count() == 50
+    assert tables.read_routed(spark, f"{tmp_path}/r", "x").count() == 25
 
 
 def test_settings():

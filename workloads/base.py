@@ -13,7 +13,7 @@ from contactspark.fixtures import TABLES, VIEWS, Tables, references
 from contactspark.operators import contacts as C
 from contactspark.operators import evidence as E
 from contactspark.operators import universe as U
-from contactspark.operators.ordered import checkpointed
+from contactspark.operators.ordered import written
 from contactspark.settings import BIN_SIZE, Geometry
 
 QUERIES: dict = {}
@@ -24,7 +24,9 @@ STEPS: dict[str, str] = {}
 
 CONTEXTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 OUTPUTS = [("shared", "shared"), *[(c, "context") for c in CONTEXTS], ("P1", "pool"), ("P2", "pool"), ("P3", "pool")]
-SPLITS = 3
+SPLITS = 20
+HALVES_SEED = 20260724
+REPLICATES = 1000  # of every bootstrap
 
 
 class Inputs(Tables):
@@ -35,16 +37,15 @@ class Inputs(Tables):
         """The pair table, stored once per session and data folder, as a pipeline would store it."""
         key = (self.spark.sparkContext.applicationId, self.folder)
         if key not in STORED:
-            STORED[key] = checkpointed(U.build_universe(self.tiles, Geometry()))
+            STORED[key] = written(U.build_universe(self.tiles, Geometry()))
         return STORED[key]
 
     @cached_property
     def assignments(self) -> DataFrame:
-        return self.membership.select(
-            "context_index", "cell_type", "cell_id", "library_id", "dna_barcode",
-            F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))).alias("split"),
-        ).withColumn(
-            "half", F.when(F.expr("cast(dna_barcode as bigint) % (7 + 4 * split) % 2 = 0"), "A").otherwise("B"))
+        key = (self.spark.sparkContext.applicationId, self.folder + "#halves")
+        if key not in STORED:
+            STORED[key] = written(E.balanced_halves(self.membership, SPLITS, HALVES_SEED))
+        return STORED[key].select("context_index", "cell_type", "cell_id", "library_id", "dna_barcode", "split", "half")
 
     @cached_property
     def binned(self) -> DataFrame:
@@ -57,7 +58,13 @@ class Inputs(Tables):
 
     @cached_property
     def counts(self) -> DataFrame:
-        return E.evidence_counts(self.records, self.assignments, SPLITS)
+        return E.counts_of(self.sums)
+
+    @cached_property
+    def sums(self) -> DataFrame:
+        """Counts per context and pair with the halves of every split, from raw records."""
+        cells = E.cell_masks(self.membership, self.assignments, SPLITS)
+        return E.pair_sums(self.raw_contacts, cells, self.universe, SPLITS, bin_size=BIN_SIZE, low=250_000, high=1_000_000)
 
     @cached_property
     def outputs(self) -> DataFrame:
@@ -77,10 +84,23 @@ class Inputs(Tables):
         })
 
 
-STEPS["assignments"] = """
-select context_index, cell_type, cell_id, library_id, dna_barcode, split,
-  case when cast(dna_barcode as bigint) % (7 + 4 * split) % 2 = 0 then 'A' else 'B' end as half
-from {membership}, (values (0), (1), (2)) s(split)"""
+# uniform number of a seeded draw, as ``functions.draws`` makes it
+DRAWN = "cast('0x' || substr(md5({text}), 1, 13) as bigint) / 4503599627370496.0"
+
+
+def drawn(seed: int, *keys: str) -> str:
+    """DuckDB text of ``functions.draws.uniform`` over the named columns."""
+    return DRAWN.replace("{text}", f"'{seed}|' || " + " || '|' || ".join(keys))
+
+
+STEPS["assignments"] = f"""
+with n as (select context_index, library_id, (count(*) + 1) // 2 as pairs from {{membership}} group by all),
+f as (select *, cast(coalesce(sum(pairs) over (partition by context_index order by library_id rows between unbounded preceding and 1 preceding), 0) as bigint) as first from n),
+p as (select m.*, row_number() over (partition by context_index, library_id order by valid_pairs desc, cell_id) as place from {{membership}} m),
+u as (select p.*, first + (place - 1) // 2 as pair, s.split from p join f using (context_index, library_id), range(0, {SPLITS}) s(split))
+select context_index, cell_type, cell_id, library_id, dna_barcode, cast(split as int) as split,
+  case when ((place % 2 = 0) <> (pair % 2 = 1)) <> ({DRAWN.replace("{text}", f"'{HALVES_SEED}|' || split || '|' || context_index || '|' || pair // 2")} < 0.5) then 'B' else 'A' end as half
+from u"""
 STEPS["tile_pairs"] = """
 select chrom, target_start + o * 10000 as bin_i, target_start + (o + d) * 10000 as bin_j, d * 10000 as distance_bp, d as distance_bin,
   tile_row, tile_id, split, least(o, 99 - o - d) as boundary_margin_bins
@@ -96,8 +116,9 @@ select *, row_number() over (order by cast(substr(chrom, 4) as int), bin_i, bin_
 from {canonical} p
 where not exists (select 1 from {conflicts} c where c.chrom = p.chrom and c.bin in (p.bin_i, p.bin_j))"""
 STEPS["anchored"] = """
-select *, least(pos1 - pos1 % 10000, pos2 - pos2 % 10000) as bin_i, greatest(pos1 - pos1 % 10000, pos2 - pos2 % 10000) as bin_j
-from {raw_contacts}"""
+select * exclude (chrom1, chrom2, b1, b2, turned), case when turned then chrom2 else chrom1 end as chrom1, case when turned then chrom1 else chrom2 end as chrom2,
+  case when turned then b2 else b1 end as bin_i, case when turned then b1 else b2 end as bin_j
+from (select *, pos1 - pos1 % 10000 as b1, pos2 - pos2 % 10000 as b2, chrom1 > chrom2 or chrom1 = chrom2 and pos1 - pos1 % 10000 > pos2 - pos2 % 10000 as turned from {raw_contacts})"""
 STEPS["records"] = """
 select m.context_index, m.cell_type, a.library_id, a.dna_barcode, u.pair_id
 from {anchored} a join {membership} m using (library_id, dna_barcode)

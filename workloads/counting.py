@@ -16,9 +16,9 @@ CHROMS = [f"chr{n}" for n in range(1, 10)]  # chr10 plays the unknown chromosome
 
 
 @query("canonical_anchors", """
-select read_id, chrom1, bin_i, bin_j, bin_j - bin_i as distance_bp from {anchored}""")
+select read_id, chrom1, chrom2, bin_i, bin_j, case when chrom1 = chrom2 then bin_j - bin_i end as distance_bp from {anchored}""")
 def canonical_anchors(t):
-    return C.canonical_anchors(t.raw_contacts, BIN_SIZE).select("read_id", "chrom1", "bin_i", "bin_j", "distance_bp")
+    return C.canonical_anchors(t.raw_contacts, BIN_SIZE).select("read_id", "chrom1", "chrom2", "bin_i", "bin_j", "distance_bp")
 
 
 @query("contact_filter", """
@@ -59,11 +59,11 @@ def restrict_to_universe(t):
 
 
 STEPS["pixels"] = """
-select chrom1 as chrom, bin_i, bin_j, count(*) as "count" from {anchored} where chrom1 = chrom2 group by all"""
+select chrom1 as chrom, chrom2, bin_i, bin_j, count(*) as "count" from {anchored} group by all"""
 
 
 def pixels(t):
-    return C.contacts_to_pixels(t.raw_contacts.filter("chrom1 = chrom2"), BIN_SIZE)
+    return C.contacts_to_pixels(t.raw_contacts, BIN_SIZE)
 
 
 @query("contacts_to_pixels", """select * from {pixels}""")
@@ -72,27 +72,29 @@ def contacts_to_pixels(t):
 
 
 @query("coarsen_pixels", """
-select chrom, bin_i - bin_i % 50000 as bin_i, bin_j - bin_j % 50000 as bin_j, cast(sum("count") as bigint) as "count" from {pixels} group by 1, 2, 3""")
+select chrom, chrom2, bin_i - bin_i % 50000 as bin_i, bin_j - bin_j % 50000 as bin_j, cast(sum("count") as bigint) as "count" from {pixels} group by 1, 2, 3, 4""")
 def coarsen_pixels(t):
     return C.coarsen_pixels(pixels(t), BIN_SIZE, 5)
 
 
 @query("pixel_mass", """
 select cast(sum(case when u.pair_id is not null then "count" else 0 end) as bigint) as universe_mass, cast(sum("count") as bigint) as total_mass
-from {pixels} p left join {universe} u using (chrom, bin_i, bin_j)""")
+from {pixels} p left join {universe} u on p.chrom = u.chrom and p.chrom2 = u.chrom and p.bin_i = u.bin_i and p.bin_j = u.bin_j""")
 def pixel_mass(t):
     return C.pixel_mass(pixels(t), t.universe)
 
 
 @query("genome_key", """
-with c as (select chrom, max(bin) as last from (select chrom1 as chrom, bin_j as bin from {anchored} where chrom1 = chrom2) group by 1),
+with c as (select chrom, max(bin) as last from (select chrom1 as chrom, bin_i as bin from {anchored} union all select chrom2, bin_j from {anchored}) group by 1),
 o as (select chrom, cast(coalesce(sum(last / 10000 + 1) over (order by cast(substr(chrom, 4) as int) rows between unbounded preceding and 1 preceding), 0) as bigint) as first_bin from c)
-select first_bin + cast(bin_i / 10000 as bigint) as bin1_id, first_bin + cast(bin_j / 10000 as bigint) as bin2_id, "count" from {pixels} join o using (chrom)""")
+select least(a, b) as bin1_id, greatest(a, b) as bin2_id, "count" from (select o.first_bin + cast(bin_i / 10000 as bigint) as a, q.first_bin + cast(bin_j / 10000 as bigint) as b, "count"
+  from {pixels} p join o on o.chrom = p.chrom join o q on q.chrom = p.chrom2)""")
 def genome_key(t):
     from pyspark.sql import Window as W
 
     per = pixels(t)
-    last = per.groupBy("chrom").agg(F.max("bin_j").alias("last")).withColumn("k", S.chrom_number())
+    ends = F.inline(F.array(F.struct("chrom", F.col("bin_i").alias("bin")), F.struct(F.col("chrom2").alias("chrom"), F.col("bin_j").alias("bin"))))
+    last = per.select(ends).groupBy("chrom").agg(F.max("bin").alias("last")).withColumn("k", S.chrom_number())
     before = W.orderBy("k").rowsBetween(W.unboundedPreceding, -1)
     first = last.select("chrom", F.coalesce(F.sum(S.fdiv("last", BIN_SIZE) + 1).over(before), F.lit(0)).alias("first_bin"))
     return C.with_genome_bins(per, first, BIN_SIZE)
@@ -255,7 +257,7 @@ def evidence_counts(t):
 
 @query("split_evidence", """select * from {split_counts}""")
 def split_evidence(t):
-    return E.split_counts(t.records, t.assignments, SPLITS)
+    return E.splits_of(t.sums)
 
 
 @query("evidence_conservation", """
@@ -345,7 +347,7 @@ def support_table(t):
 
 STEPS["support_table"] = """
 select c.*, coalesce(primary_support, 0) as primary_support,
-  greatest(coalesce(primary_support, 0) * (0.5 + 0.5 * reproduced_splits / 3), reproduced_splits / 3) as support_weight
+  greatest(coalesce(primary_support, 0) * (0.5 + 0.5 * reproduced_splits / 20), reproduced_splits / 20) as support_weight
 from {counts} c left join {support} using (context_index, pair_id)"""
 
 
@@ -363,14 +365,20 @@ def half_depths(t):
     return E.half_depths(t.membership, t.assignments, t.pools, 2)
 
 
-@query("balanced_halves")
+@query("balanced_halves", "select context_index, cell_id, split, half from {assignments}")
 def balanced_halves(t):
-    return E.half_summary(E.balanced_halves(t.membership, SPLITS, seed=20260724), t.membership)
+    return t.assignments.select("context_index", "cell_id", "split", "half")
+
+
+@query("half_summary", """
+select context_index, split, half, count(*) as cells, cast(sum(valid_pairs) as bigint) as valid_pairs
+from {assignments} join (select library_id, dna_barcode, valid_pairs from {membership}) using (library_id, dna_barcode) group by 1, 2, 3""")
+def half_summary(t):
+    return E.half_summary(t.assignments, t.membership)
 
 
 def output_split_counts(t):
-    per = E.split_counts(t.records, t.assignments, SPLITS)
-    return E.pool_counts(per, t.outputs, ["counts_a", "counts_b"], ("split", "pair_id"))
+    return E.pool_splits(t.sums, t.outputs, SPLITS)
 
 
 STEPS["output_splits"] = """
@@ -379,7 +387,7 @@ from {split_counts} join {outputs} using (context_index) group by all"""
 STEPS["power"] = """
 with sizes as (select tile_row, distance_band, chrom, count(*) as n from {universe} group by all),
 grid as (select o.output_id, o.output_type, s.split, z.*, f.f as top_fraction, cast(greatest(1, ceil(n * f)) as bigint) as k
-  from (select distinct output_id, output_type from {outputs}) o, (values (0), (1), (2)) s(split), sizes z,
+  from (select distinct output_id, output_type from {outputs}) o, range(0, 20) s(split), sizes z,
   (values (cast(0.01 as double)), (cast(0.02 as double)), (cast(0.05 as double))) f(f)),
 rows as (select c.*, u.tile_row, u.distance_band from {output_splits} c join {universe} u using (pair_id)),
 a as (select output_id, split, tile_row, distance_band, pair_id, counts_a as v, row_number() over w as rn, rank() over w as r,

@@ -348,15 +348,15 @@ def map_errors(t):
 
 
 @query("balanced_observed", """
-with w as (select chrom, bin, 1 + (bin / 10000) % 5 as w from (select chrom, bin_i as bin from {pixels} union select chrom, bin_j from {pixels}) where (bin / 10000) % 11 <> 0)
+with w as (select chrom, bin, 1 + (bin / 10000) % 5 as w from (select chrom, bin_i as bin from {pixels} where chrom = chrom2 union select chrom, bin_j from {pixels} where chrom = chrom2) where (bin / 10000) % 11 <> 0)
 select tile_row, cast((p.bin_i - target_start) / 10000 as bigint) as i, cast((p.bin_j - target_start) / 10000 as bigint) as j, "count", "count" * a.w * b.w / 7 as observed
 from {pixels} p left join w a on a.chrom = p.chrom and a.bin = p.bin_i left join w b on b.chrom = p.chrom and b.bin = p.bin_j
-join {tiles} t on t.chrom = p.chrom and p.bin_i >= target_start and p.bin_j + 10000 <= target_end""")
+join {tiles} t on t.chrom = p.chrom and p.bin_i >= target_start and p.bin_j + 10000 <= target_end where p.chrom = p.chrom2""")
 def balanced_observed(t):
     from workloads.counting import pixels
 
     per = pixels(t)
-    bins = per.select("chrom", F.explode(F.array("bin_i", "bin_j")).alias("bin")).distinct()
+    bins = per.filter("chrom = chrom2").select("chrom", F.explode(F.array("bin_i", "bin_j")).alias("bin")).distinct()
     weights = bins.filter("cast(bin / 10000 as bigint) % 11 <> 0").select("chrom", "bin", (1 + S.fdiv("bin", BIN_SIZE) % 5).cast("double").alias("weight"))
     return Map.balanced_observed(per, weights, 7, t.tiles, BIN_SIZE)
 

@@ -16,7 +16,7 @@ from contactspark.operators import resampling as B
 from contactspark.operators import topk as K
 from contactspark.operators.ordered import checkpointed
 from contactspark.plans import gates as G
-from workloads.base import BIN_SIZE, CONTEXTS, OUTPUTS, SPLITS, STEPS, query
+from workloads.base import BIN_SIZE, CONTEXTS, OUTPUTS, REPLICATES, SPLITS, STEPS, query
 from workloads.counting import power_rows
 from workloads.modelling import band_fit, baseline, centered
 from workloads.ranking import DRAW, GROUP
@@ -50,7 +50,7 @@ def prepared_checks(t):
 STEPS["power_bootstrap"] = """
 with c as (select output_id, distance_band, chrom, cast(sum(k * overlap_excess) as double) as x, cast(sum(k) as double) as y from {power} where evaluable and top_fraction = cast(0.01 as double) group by 1, 2, 3),
 o as (select *, row_number() over (partition by output_id, distance_band order by chrom) - 1 as i, count(*) over (partition by output_id, distance_band) as n from c),
-d as (select output_id, distance_band, n, r, DRAW as i from (select distinct output_id, distance_band, n from o), range(0, 200) a(r), range(0, 30) b(s) where s < n),
+d as (select output_id, distance_band, n, r, DRAW as i from (select distinct output_id, distance_band, n from o), range(0, 1000) a(r), range(0, 30) b(s) where s < n),
 v as (select output_id, distance_band, r, sum(x) / sum(y) as v from d join o using (output_id, distance_band, i) group by 1, 2, 3)
 select output_id, distance_band, quantile_cont(v, 0.025) as lower from v group by 1, 2""".replace("DRAW", DRAW.replace("{seed}", "20260724"))
 STEPS["power_gate"] = """
@@ -58,15 +58,15 @@ with g as (select o.output_id, b.distance_band, s.* exclude (output_id, distance
  left join (select * from {power_summary} where top_fraction = cast(0.01 as double)) s on s.output_id = o.output_id and s.distance_band = b.distance_band
  left join {power_bootstrap} p on p.output_id = o.output_id and p.distance_band = b.distance_band)
 select output_id, distance_band, unnest(['complete', 'coverage', 'chromosomes', 'enrichment', 'bootstrap']) as "check",
- unnest([k_weighted_evaluable_fraction is not null, coalesce(k_weighted_evaluable_fraction >= 0.8, false), coalesce(chromosomes >= 3, false), coalesce(enrichment_over_chance >= 2, false), coalesce(lower > 0, false)]) as passed from g"""
+ unnest([k_weighted_evaluable_fraction is not null, coalesce(k_weighted_evaluable_fraction >= 0.8, false), coalesce(chromosomes >= 10, false), coalesce(enrichment_over_chance >= 2, false), coalesce(lower > 0, false)]) as passed from g"""
 
 
 def power_checks(t):
     rows = power_rows(t).filter("top_fraction = 0.01D")
     summary = P.weighted_topk_summary(rows, SUMMARY)
     weighted = rows.filter("evaluable").withColumn("x", F.col("k") * F.col("overlap_excess"))
-    boot = B.chrom_bootstrap(weighted, ["output_id", "distance_band"], "x", "k", replicates=200, seed=20260724)
-    return G.power_gate(summary, boot, BANDS, chroms=3)
+    boot = B.chrom_bootstrap(weighted, ["output_id", "distance_band"], "x", "k", replicates=REPLICATES, seed=20260724)
+    return G.power_gate(summary, boot, BANDS)
 
 
 @query("power_gate", "select * from {power_gate}")
@@ -82,11 +82,11 @@ def topology_tables(t):
     gain = R.conditional_ll(rows, exact, "eta", "full_count").select(*exact, "events", "log_likelihood").join(
         R.conditional_ll(rows, exact, "eta0", "full_count").select(*exact, F.col("log_likelihood").alias("base")), exact)
     gain = gain.filter("events > 0").withColumn("x", F.col("log_likelihood") - F.col("base"))
-    like = B.chrom_bootstrap(gain, ["distance_band"], "x", "events", replicates=100, seed=1)
+    like = B.chrom_bootstrap(gain, ["distance_band"], "x", "events", replicates=REPLICATES, seed=1)
     keys = [*GROUP, "chrom"]
     model = K.model_vs_target(rows, keys, "score", "target", "full_count", 0.01)
     weighted = model.withColumns({"x": F.col("k") * F.col("overlap"), "y": F.col("k") * F.col("chance")})
-    top = B.chrom_bootstrap(weighted, ["distance_band"], "x", "y", replicates=100, seed=2)
+    top = B.chrom_bootstrap(weighted, ["distance_band"], "x", "y", replicates=REPLICATES, seed=2)
     replicate = K.model_vs_target(rows.filter("counts_a > 0 or counts_b > 0 or true"), keys, "counts_b", "counts_a", "counts_a", 0.01)
 
     def excess(df, name):
@@ -97,7 +97,7 @@ def topology_tables(t):
         top.select("distance_band", F.col("point").alias("top1_enrichment"), F.col("lower").alias("top1_lower")), "distance_band", "left").join(
         ceiling.select("distance_band", F.when(F.col("_r") > 0, F.col("_m") / F.col("_r")).alias("ceiling_fraction")), "distance_band", "left")
     per = M.reliability(rows, [250_000, 500_000, 750_000], "score", "target", "counts_a", "counts_b")
-    boot = B.chrom_bootstrap(per.withColumn("x", F.col("model") * F.col("rows")), ["distance_bp"], "x", "rows", replicates=100, seed=3)
+    boot = B.chrom_bootstrap(per.withColumn("x", F.col("model") * F.col("rows")), ["distance_bp"], "x", "rows", replicates=REPLICATES, seed=3)
     distances = M.reliability_summary(per).select("distance_bp", "reliability_fraction").join(boot.select("distance_bp", "lower"), "distance_bp")
     return bands, distances
 
@@ -122,7 +122,7 @@ def calibration_metrics(t, fitted, base, outputs):
     totals = Fit.calibration_ratio(rows, keys, "full_count", "mean", "ll", "ll0")
     slope = M.calibration_slope(rows, keys, "full_count", "mean")
     per_chrom = rows.withColumn("x", F.col("ll") - F.col("ll0"))
-    boot = B.chrom_bootstrap(per_chrom, keys, "x", "full_count", replicates=100, seed=4)
+    boot = B.chrom_bootstrap(per_chrom, keys, "x", "full_count", replicates=REPLICATES, seed=4)
     return totals.join(slope, keys).join(boot.select(*keys, F.col("lower").alias("gain_lower")), keys, "left")
 
 
@@ -284,11 +284,11 @@ def context_test_comparison(t):
 
 STEPS["history"] = """
 select cell_type as run, split as epoch, 1000 / sum(full_count) as validation_loss, 2000 / (sum(full_count) + split * 5) as rank_loss
-from (select context_index, split, counts_a + 2 * counts_b as full_count from {split_counts}) join {contexts} using (context_index) group by 1, 2"""
+from (select context_index, split, counts_a + 2 * counts_b as full_count from {split_counts} where split < 3) join {contexts} using (context_index) group by 1, 2"""
 
 
 def history(t):
-    rows = E.split_counts(t.records, t.assignments, SPLITS).join(t.contexts.select("context_index", F.col("cell_type").alias("run")), "context_index")
+    rows = E.splits_of(t.sums).filter("split < 3").join(t.contexts.select("context_index", F.col("cell_type").alias("run")), "context_index")
     total = F.sum(F.col("counts_a") + 2 * F.col("counts_b"))
     return rows.groupBy("run", F.col("split").alias("epoch")).agg((F.lit(1000) / total).alias("validation_loss"), (F.lit(2000) / (total + F.col("epoch") * 5)).alias("rank_loss"))
 
@@ -332,7 +332,7 @@ def ceiling_rows(t):
     from pyspark.sql import Window as W
 
     curve = curve.withColumn("eps", F.min(F.when(F.col("expected") > 0, F.col("expected"))).over(W.partitionBy("context_index")))
-    per = E.split_counts(t.records, t.assignments, SPLITS).withColumnRenamed("split", "rep")
+    per = E.splits_of(t.sums).withColumnRenamed("split", "rep")
     rows = grid.filter("split = 'validation'").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))))
     rows = rows.join(per, ["context_index", "rep", "pair_id"], "left").fillna(0, ["counts_a", "counts_b"]).join(halves, ["context_index", "rep"]).join(curve, ["context_index", "distance_bin"])
 

@@ -11,7 +11,7 @@ from contactspark.operators import fit as Fit
 from contactspark.operators import metrics as M
 from contactspark.operators import rates as R
 from contactspark.operators import sampling as X
-from workloads.base import CONTEXTS, STEPS, query
+from workloads.base import CONTEXTS, STEPS, drawn, query
 
 STEPS["curve"] = """
 select distance_bin, cast(sum(full_count) as bigint) as event_count, sum(exposure) * 5 as exposure_opportunity,
@@ -175,18 +175,28 @@ def calibration_ratio(t):
     return Fit.calibration_ratio(rows, ["distance_band"], "full_count", "model", "ll", "ll0")
 
 
-@query("nb2_interval")
+# cumulative probabilities of each distinct mean under dispersion 1/4, by the mass function
+STEPS["mean_cdf"] = """
+with m as (select distinct baseline_mean as mu from {baseline}),
+p as (select mu, k, exp(lgamma(k + 4) - lgamma(4) - lgamma(k + 1) + 4 * (ln(4) - ln(4 + mu)) + k * (ln(mu) - ln(4 + mu))) as p
+  from m, range(0, (select cast(60 + 40 * max(mu) as bigint) from m)) r(k))
+select mu, k, sum(p) over (partition by mu order by k) as cdf from p"""
+
+
+@query("nb2_interval", """
+with q as (select mu, min(k) filter (cdf >= 0.025) as lower, min(k) filter (cdf >= 0.975) as upper from {mean_cdf} group by 1)
+select pair_id, baseline_mean, lower, upper from {baseline} join q on mu = baseline_mean""")
 def nb2_interval(t):
-    rows = baseline(t).withColumn("phi", F.lit(0.25)).filter("split <> 'train'")
+    rows = baseline(t).withColumn("phi", F.lit(0.25))
     return Fit.nb2_interval(rows, "baseline_mean", "phi").select("pair_id", "baseline_mean", "lower", "upper")
 
 
-@query("simulate_counts")
+@query("simulate_counts", f"""
+with u as (select pair_id, baseline_mean, {drawn(17, "pair_id")} as u from {{baseline}})
+select pair_id, count(*) filter (cdf < u) as simulated_count from u join {{mean_cdf}} on mu = baseline_mean group by 1""")
 def simulate_counts(t):
     rows = baseline(t).withColumn("phi", F.lit(0.25))
-    out = Fit.simulate_counts(rows, "baseline_mean", "phi", 17, ["pair_id"])
-    return out.groupBy("distance_band").agg(F.avg("simulated_count").alias("mean_simulated"), F.avg("baseline_mean").alias("mean_expected"),
-                                            F.variance("simulated_count").alias("var_simulated"))
+    return Fit.simulate_counts(rows, "baseline_mean", "phi", 17, ["pair_id"]).select("pair_id", "simulated_count")
 
 
 def sampled_pairs(t):
@@ -194,63 +204,120 @@ def sampled_pairs(t):
 
 
 def positives(t):
-    return t.counts.select("context_index", "pair_id", F.col("full_count").alias("event_count"), (F.col("reproduced_splits") / 3.0).alias("support_weight"))
+    return t.counts.select("context_index", "pair_id", F.col("full_count").alias("event_count"), (F.col("reproduced_splits") / 20.0).alias("support_weight"))
 
 
-@query("draw_controls")
-def draw_controls(t):
-    drawn = X.draw_controls(positives(t), sampled_pairs(t), 4, 4, seed=23)
-    return drawn.groupBy("context_index", "component").agg(
-        F.count(F.lit(1)).alias("draws"), F.count_if(F.col("control_id") == F.col("pair_id")).alias("focal_draws"),
-        F.avg("proposal").alias("mean_proposal"), F.min("proposal").alias("min_proposal"))
+STEPS["sampled_pairs"] = """
+with e as (select quantile_cont(ln(exposure), [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) as q from {scored} where split = 'train')
+select s.*, len(list_filter(q, lambda x : x <= ln(exposure))) as decile, (bin_i / 10000) % 3 as class from {scored} s, e"""
+STEPS["drawn_controls"] = f"""
+with p as (select pair_id, chrom, distance_band, split, distance_bin, decile, class, row_number() over b - 1 as bp, count(*) over (partition by chrom, distance_band, split) as bs,
+  row_number() over m - 1 as mp, count(*) over (partition by chrom, distance_bin, decile, class, split) as ms from {{sampled_pairs}}
+  window b as (partition by chrom, distance_band, split order by pair_id), m as (partition by chrom, distance_bin, decile, class, split order by pair_id)),
+s as (select c.context_index, p.*, slot, slot >= 4 and ms > 1 as fine from {{counts}} c join p using (pair_id), range(0, 8) r(slot)),
+d as (select *, cast(floor({drawn(23, "context_index", "pair_id", "slot")} * (case when fine then ms else bs end - 1)) as bigint) as drawn from s),
+e as (select *, drawn + cast(drawn >= case when fine then mp else bp end as int) as place from d),
+f as (select e.*, p.pair_id as control_id, p.distance_bin as cd, p.decile as cq, p.class as cc from e join p on p.chrom = e.chrom and p.distance_band = e.distance_band and p.split = e.split and p.bp = e.place where not fine
+  union all select e.*, p.pair_id, p.distance_bin, p.decile, p.class from e join p on p.chrom = e.chrom and p.distance_bin = e.distance_bin and p.decile = e.decile and p.class = e.class and p.split = e.split and p.mp = e.place where fine)
+select context_index, pair_id, slot, control_id, cast(fine as int) as component,
+  case when ms > 1 then 0.5 / (bs - 1) + case when cd = distance_bin and cq = decile and cc = class then 0.5 / (ms - 1) else 0 end else 1 / (bs - 1) end as proposal from f"""
 
 
-@query("control_groups")
-def control_groups(t):
-    groups = X.control_groups(X.draw_controls(positives(t), sampled_pairs(t), 4, 4, seed=23))
-    return groups.groupBy("context_index").agg(
-        F.count(F.lit(1)).alias("positives"), F.min(F.size("event_control_pair_ids")).alias("least"), F.max(F.size("event_control_pair_ids")).alias("most"))
+def drawn_controls(t):
+    return X.draw_controls(positives(t), sampled_pairs(t), 4, 4, seed=23)
 
 
-@query("rank_controls")
-def rank_controls(t):
-    drawn = X.rank_controls(positives(t), t.scored, t.counts, 4, seed=29)
-    hit = t.counts.select("context_index", F.col("pair_id").alias("control_id"), F.lit(1).alias("counted"))
-    return drawn.join(hit, ["context_index", "control_id"], "left").groupBy("context_index").agg(
-        F.count(F.lit(1)).alias("draws"), F.count_if(F.col("control_id") == F.col("pair_id")).alias("focal_draws"),
-        F.count_if((F.col("counted") == 1) & (F.col("support_weight") > 0)).alias("counted_draws"))
+@query("draw_controls", "select context_index, pair_id, slot, control_id, component, proposal * 1000 as proposal_per_mille from {drawn_controls}")
+def draw_controls(t):
+    return drawn_controls(t).withColumn("proposal_per_mille", F.col("proposal") * 1000).drop("proposal")
 
 
-@query("resample_rank_controls")
+@query("control_groups", """
+select pair_id as positive_pair_id, context_index, string_agg(control_id, ',' order by slot) as controls, string_agg(component, ',' order by slot) as components,
+  sum(proposal) * 1000 as proposals_per_mille from {drawn_controls} group by 1, 2""")
+def control_groups(t):
+    """The lists of every positive, as text."""
+    groups = X.control_groups(drawn_controls(t))
+    total = F.aggregate("event_proposal_probabilities", F.lit(0.0), lambda a, x: a + x) * 1000
+    return groups.select("positive_pair_id", "context_index", F.array_join(F.col("event_control_pair_ids").cast("array<string>"), ",").alias("controls"),
+                         F.array_join(F.col("event_proposal_components").cast("array<string>"), ",").alias("components"), total.alias("proposals_per_mille"))
+
+
+STEPS["positives"] = "select context_index, pair_id, reproduced_splits / 20 as weight from {counts}"
+
+
+@query("rank_controls", f"""
+with z as (select w.context_index, w.tile_row, w.distance_band, w.split, u.pair_id, row_number() over g - 1 as place, count(*) over (partition by w.context_index, w.tile_row, w.distance_band, w.split) as n
+  from (select distinct context_index, tile_row, distance_band, split from {{positives}} join {{universe}} using (pair_id)) w join {{universe}} u using (tile_row, distance_band, split)
+  where not exists (select 1 from {{counts}} c where c.context_index = w.context_index and c.pair_id = u.pair_id)
+  window g as (partition by w.context_index, w.tile_row, w.distance_band, w.split order by u.pair_id)),
+k as (select distinct context_index, tile_row, distance_band, split, n from z),
+s as (select p.*, u.tile_row, u.distance_band, u.split, slot, k.n, cast(floor({drawn(29, "context_index", "pair_id", "slot")} * k.n) as bigint) as place
+  from {{positives}} p join {{universe}} u using (pair_id) left join k using (context_index, tile_row, distance_band, split), range(0, 4) r(slot))
+select s.context_index, s.pair_id, slot, coalesce(z.pair_id, s.pair_id) as control_id, case when z.pair_id is not null then weight else 0 end as support_weight
+from s left join z using (context_index, tile_row, distance_band, split, place)""")
+def rank_controls(t):
+    return X.rank_controls(positives(t), t.scored, t.counts, 4, seed=29)
+
+
+@query("resample_rank_controls", f"""
+with w as (select p.*, u.tile_row, u.distance_band, u.split from {{positives}} p join {{universe}} u using (pair_id) where weight > 0),
+l as (select g.context_index, g.tile_row, g.distance_band, g.split, u.pair_id, w.weight from (select distinct context_index, tile_row, distance_band, split from w) g
+  join {{universe}} u using (tile_row, distance_band, split) left join w on w.context_index = g.context_index and w.pair_id = u.pair_id),
+z as (select *, row_number() over (partition by context_index, tile_row, distance_band, split order by pair_id) - 1 as place, count(*) over (partition by context_index, tile_row, distance_band, split) as n
+  from l where weight is null),
+o as (select *, row_number() over (partition by context_index, tile_row, distance_band, split order by weight, pair_id) - 1 as place,
+  rank() over (partition by context_index, tile_row, distance_band, split order by weight) - 1 as lower from l where weight > 0),
+s as (select w.*, slot, coalesce(k.n, 0) as zeros, o.lower, case when coalesce(k.n, 0) > 0 and (slot < 2 or o.lower = 0) then 'zero' when o.lower > 0 then 'lower' end as pool
+  from w join o using (context_index, pair_id) left join (select distinct context_index, tile_row, distance_band, split, n from z) k on k.context_index = w.context_index and k.tile_row = w.tile_row
+    and k.distance_band = w.distance_band and k.split = w.split, range(0, 4) r(slot)),
+d as (select *, cast(floor({drawn(31, "context_index", "pair_id", "slot")} * case pool when 'zero' then zeros else lower end) as bigint) as place from s),
+b as (select 'zero' as pool, context_index, tile_row, distance_band, split, place, pair_id from z union all select 'lower', context_index, tile_row, distance_band, split, place, pair_id from o)
+select d.context_index, d.pair_id, slot, coalesce(b.pair_id, d.pair_id) as control_id, d.pool, case when b.pair_id is not null then d.weight else 0 end as support_weight
+from d left join b using (context_index, tile_row, distance_band, split, pool, place)""")
 def resample_rank_controls(t):
     support = positives(t).filter("support_weight > 0").select("context_index", "pair_id", "support_weight")
-    drawn = X.resample_rank_controls(positives(t), t.scored, support, 4, seed=31)
-    own = support.select("context_index", F.col("pair_id").alias("control_id"), F.col("support_weight").alias("control_support"))
-    return drawn.join(own, ["context_index", "control_id"], "left").groupBy("context_index", "pool").agg(
-        F.count(F.lit(1)).alias("draws"), F.count_if(F.col("control_support") >= F.col("support_weight")).alias("not_lower"))
-
-
-@query("matched_negatives")
+    return X.resample_rank_controls(positives(t), t.scored, support, 4, seed=31)
+
+
+@query("matched_negatives", f"""
+with r as (select *, rank() over (partition by distance_band order by score) + (count(*) over (partition by distance_band, score) - 1) / 2 as rank, count(*) over (partition by distance_band) as size from {{scored}}),
+m as (select pair_id, chrom, distance_bp, distance_bp // 50000 as d50, least(counts_a, 1) as bucket, cast(least(floor(rank / (size + 1) * 10), 9) as bigint) as decile, counts_b >= 2 as label, counts_b >= 1 as near from r),
+n as (select *, row_number() over a - 1 as pa, count(*) over (partition by chrom, bucket, decile, distance_bp) as na, row_number() over b - 1 as pb, count(*) over (partition by chrom, bucket, decile, d50) as nb,
+  row_number() over c - 1 as pc, count(*) over (partition by chrom, bucket, decile) as nc from m where not near
+  window a as (partition by chrom, bucket, decile, distance_bp order by pair_id), b as (partition by chrom, bucket, decile, d50 order by pair_id), c as (partition by chrom, bucket, decile order by pair_id)),
+s as (select m.*, a.na, b.nb, c.nc, {drawn(37, "m.pair_id")} as u from m left join (select distinct chrom, bucket, decile, distance_bp, na from n) a using (chrom, bucket, decile, distance_bp)
+  left join (select distinct chrom, bucket, decile, d50, nb from n) b using (chrom, bucket, decile, d50) left join (select distinct chrom, bucket, decile, nc from n) c using (chrom, bucket, decile) where label)
+select s.pair_id, n.pair_id as negative_id, 'exact_10kb' as tier from s join n on s.na is not null and n.chrom = s.chrom and n.bucket = s.bucket and n.decile = s.decile and n.distance_bp = s.distance_bp and n.pa = floor(u * s.na)
+union all select s.pair_id, n.pair_id, 'within_50kb' from s join n on s.na is null and s.nb is not null and n.chrom = s.chrom and n.bucket = s.bucket and n.decile = s.decile and n.d50 = s.d50 and n.pb = floor(u * s.nb)
+union all select s.pair_id, n.pair_id, 'within_band' from s join n on s.na is null and s.nb is null and n.chrom = s.chrom and n.bucket = s.bucket and n.decile = s.decile and n.pc = floor(u * s.nc)""")
 def matched_negatives(t):
+    # counts are low here, so buckets tell seen from unseen pairs
     rows = X.with_match_buckets(t.scored, "counts_a", "score").withColumns({
-        "label": F.col("counts_b") >= 3, "near": F.col("counts_b") >= 2})
-    drawn = X.matched_negatives(rows, "label", "near", seed=37)
-    return drawn.groupBy("tier").agg(F.count(F.lit(1)).alias("negatives"), F.count_distinct("negative_id").alias("unique_negatives"))
+        "raw_bucket": F.least("counts_a", F.lit(1)), "label": F.col("counts_b") >= 2, "near": F.col("counts_b") >= 1})
+    return X.matched_negatives(rows, "label", "near", seed=37)
 
 
-@query("thin_counts")
+@query("thin_counts", f"""
+with p as (select output_id, pair_id, cast(sum(counts_b) as bigint) as n from {{counts}} join {{outputs}} using (context_index) group by 1, 2 having sum(counts_b) > 0),
+d as (select output_id, cast(sum(n) as bigint) // 3 as depth from p group by 1), e as (select output_id, pair_id, unnest(range(1, n + 1)) as event from p),
+r as (select *, row_number() over (partition by output_id order by {drawn(41, "output_id", "pair_id", "event")}, pair_id, event) as r from e)
+select output_id, pair_id, count(*) as counts_b from r join d using (output_id) where r <= depth group by 1, 2""")
 def thin_counts(t):
     per = E.pool_counts(t.counts, t.outputs, ["counts_b"]).filter("counts_b > 0").select("output_id", "pair_id", "counts_b")
     depth = per.groupBy("output_id").agg(F.floor(F.sum("counts_b") / 3).alias("depth"))
-    thin = E.thin_counts(per, ["output_id"], "pair_id", "counts_b", depth, seed=41)
-    out = thin.groupBy("output_id").agg(F.sum("counts_b").alias("kept"))
-    return out.join(depth, "output_id").withColumn("exact", F.col("kept") == F.col("depth"))
+    return E.thin_counts(per, ["output_id"], "pair_id", "counts_b", depth, seed=41)
 
 
-@query("pack_groups")
+@query("pack_groups", f"""
+with g as (select tile_row || ':' || distance_bin as group_key, count(*) as rows from {{universe}} group by 1),
+w as (select greatest(4096 - coalesce(max(rows) filter (rows <= 4096), 0), 1) as width from g),
+o as (select *, sum(case when rows > 4096 then 0 else rows end) over k as upto, count(*) filter (rows > 4096) over k as large from g
+  window k as (order by {drawn(43, "group_key")}, group_key rows unbounded preceding))
+select group_key, rows, cast(case when rows > 4096 then -large else (upto - rows) // width end as bigint) as batch from o, w""")
 def pack_groups(t):
     sizes = t.universe.groupBy(F.concat_ws(":", "tile_row", "distance_bin").alias("group_key")).agg(F.count(F.lit(1)).alias("rows"))
-    return X.pack_groups(sizes, 4096, 43, "group_key").groupBy("batch").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("groups"))
+    return X.pack_groups(sizes, 4096, 43, "group_key")
 
 
 @query("group_codes", """
@@ -268,7 +335,7 @@ def group_pools(t):
 
 # a fixed control list per positive, so that losses have an oracle: the pairs 1, 8 and 27 places on
 STEPS["control_lists"] = """
-select c.context_index, c.pair_id as positive_pair_id, c.full_count as event_count, c.reproduced_splits / 3 as support_weight, slot,
+select c.context_index, c.pair_id as positive_pair_id, c.full_count as event_count, c.reproduced_splits / 20 as support_weight, slot,
  (c.pair_id + slot * slot * slot) % n as control_id, (slot + 1) / 50000 as proposal
 from {counts} c, (select count(*) as n from {universe}), (values (1), (2), (3)) s(slot)"""
 

@@ -10,7 +10,7 @@ from contactspark.operators import neighbours as N
 from contactspark.operators import ordered as O
 from contactspark.operators import resampling as R
 from contactspark.operators import topk as K
-from workloads.base import BIN_SIZE, STEPS, query
+from workloads.base import BIN_SIZE, REPLICATES, STEPS, query
 
 GROUP = ["tile_row", "distance_band"]
 STEPS["ranked"] = """
@@ -355,7 +355,7 @@ DRAW = "cast(floor(cast(cast('0x' || substr(md5('{seed}|' || cast(r as varchar)
 STEPS["ratio_bootstrap"] = """
 with c as (select distance_band, chrom, cast(sum(k * overlap_excess) as double) as x, cast(sum(k) as double) as y from {model_target} join (select tile_row, chrom from {tiles}) using (tile_row) group by 1, 2),
 o as (select *, row_number() over (partition by distance_band order by chrom) - 1 as i, count(*) over (partition by distance_band) as n from c),
-d as (select distance_band, n, r, DRAW as i from (select distinct distance_band, n from o), range(0, 200) a(r), range(0, 30) b(s) where s < n),
+d as (select distance_band, n, r, DRAW as i from (select distinct distance_band, n from o), range(0, 1000) a(r), range(0, 30) b(s) where s < n),
 v as (select distance_band, r, sum(x) / sum(y) as v from d join o using (distance_band, i) group by 1, 2)
 select v.distance_band, n as chroms, point, quantile_cont(v, 0.025) as lower, quantile_cont(v, 0.5) as median, quantile_cont(v, 0.975) as upper,
  (1 + count(*) filter (v <= 0)) / 201 as p_value from v join (select distance_band, count(*) as n, sum(x) / sum(y) as point from o group by 1) using (distance_band) group by 1, 2, 3
@@ -366,7 +366,7 @@ def excess_bootstrap(t):
     rows = t.scored.withColumn("target", S.log_enrichment("full_count", "exposure", 2.0))
     top = K.model_vs_target(rows, GROUP, "score", "target", "full_count", 0.01).join(t.tiles.select("tile_row", "chrom"), "tile_row")
     top = top.withColumn("x", F.col("k") * F.col("overlap_excess"))
-    return R.chrom_bootstrap(top, ["distance_band"], "x", "k", replicates=200, seed=11, lower=0.025)
+    return R.chrom_bootstrap(top, ["distance_band"], "x", "k", replicates=REPLICATES, seed=11, lower=0.025)
 
 
 @query("chrom_bootstrap_ratio", "select * from {ratio_bootstrap}")
@@ -376,14 +376,14 @@ def chrom_bootstrap_ratio(t):
 
 @query("chrom_bootstrap_mean", """
 with o as (select *, row_number() over (partition by distance_band order by chrom) - 1 as i, count(*) over (partition by distance_band) as n from {chrom_auroc}),
-d as (select distance_band, n, r, DRAW as i from (select distinct distance_band, n from o), range(0, 200) a(r), range(0, 30) b(s) where s < n),
+d as (select distance_band, n, r, DRAW as i from (select distinct distance_band, n from o), range(0, 1000) a(r), range(0, 30) b(s) where s < n),
 v as (select distance_band, r, avg(difference) as v from d join o using (distance_band, i) group by 1, 2)
 select v.distance_band, n as chroms, point, quantile_cont(v, 0.025) as lower, quantile_cont(v, 0.5) as median, quantile_cont(v, 0.975) as upper
 from v join (select distance_band, count(*) as n, avg(difference) as point from o group by 1) using (distance_band) group by 1, 2, 3
 """.replace("DRAW", DRAW.replace("{seed}", "5")))
 def chrom_bootstrap_mean(t):
     rows = M.per_chrom_metric_difference(counted(t), ["distance_band"], "score", "score2", "hit", "auroc")
-    return R.chrom_bootstrap_mean(rows, ["distance_band"], "difference", replicates=200, seed=5)
+    return R.chrom_bootstrap_mean(rows, ["distance_band"], "difference", replicates=REPLICATES, seed=5)
 
 
 STEPS["uniforms"] = """
