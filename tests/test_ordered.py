@@ -1,9 +1,9 @@
 """Ordered computations agree with pandas whatever the partitioning, with a hot group and heavy ties."""
 
-import numpy as np
-import pandas as pd
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 

@@ -194,7 +194,21 @@ def sequence_features(t):
     return sequences(t)
 
 
-@query("pwm_scan")
+_WIDTH = len(Q.CTCF_COUNTS)
+
+
+def _strand(table) -> str:
+    """DuckDB text of a window's score: one list of four weights per place."""
+    return " + ".join(f"[{', '.join(f'{float(v)!r}::double' for v in row)}][{f'lead(c, {k}) over d' if k else 'c'}]" for k, row in enumerate(table))
+
+
+@query("pwm_scan", f"""
+with s as (select doc_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') as s from {{documents}}),
+l as (select doc_id, unnest(string_split(s, '')) as b, unnest(range(0, length(s))) as i, length(s) as n from s where s <> ''),
+w as (select doc_id, i, n, {_strand(Q.log_odds(Q.CTCF_COUNTS))} as f, {_strand(Q.log_odds(Q.CTCF_COUNTS)[::-1, ::-1])} as r
+  from (select doc_id, i, n, instr('ACGT', b) as c from l) window d as (partition by doc_id order by i)),
+m as (select doc_id, max(f) as f, max(r) as r from w where i <= n - {_WIDTH} group by 1)
+select doc_id, greatest(f, r) as score, case when f is null then 0 when f >= r then 1 else -1 end as orientation from s left join m using (doc_id)""")
 def pwm_scan(t):
     """Letters of the whole texts mapped to bases, so that long valid windows exist."""
     bases = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")

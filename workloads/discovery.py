@@ -254,7 +254,7 @@ def alignment_report(t):
 
 @query("fine_to_coarse", """
 with p as (select pair_id, chrom, bin_i - bin_i % 50000 as ci, bin_j - bin_j % 50000 as cj, exposure from {scored})
-select pair_id, (sum(exposure) over (partition by chrom, ci, cj) / sum(exposure) over ()) * (exposure / sum(exposure) over (partition by chrom, ci, cj)) as probability from p""")
+select pair_id, (sum(exposure) over (partition by chrom, ci, cj) / sum(exposure) over ()) * (exposure / sum(exposure) over (partition by chrom, ci, cj)) * 1000000 as per_million from p""")
 def fine_to_coarse(t):
     key = F.concat_ws(":", "chrom", S.floor_to("bin_i", 50_000).cast("string"), S.floor_to("bin_j", 50_000).cast("string"))
     rows = t.scored.select("pair_id", key.alias("coarse_id"), "exposure")
@@ -262,7 +262,8 @@ def fine_to_coarse(t):
     total = sums.agg(F.sum("mass").alias("total"))
     coarse = sums.join(F.broadcast(total)).select("coarse_id", (F.col("mass") / F.col("total")).alias("probability"))  # a single row
     fine = rows.join(sums, "coarse_id").select("pair_id", "coarse_id", (F.col("exposure") / F.col("mass")).alias("within"))
-    return X.fine_to_coarse(fine, coarse).select("pair_id", "probability")
+    # small shares, so in millionths: six places are compared
+    return X.fine_to_coarse(fine, coarse).select("pair_id", (F.col("probability") * 1_000_000).alias("per_million"))
 
 
 def deltas(t):

@@ -101,9 +101,9 @@ def log_rate(t):
 
 
 @query("owner_band_probability", """
-select pair_id, exp(eta) / sum(exp(eta)) over (partition by tile_row, distance_band) as probability from {centered}""")
+select pair_id, exp(eta) / sum(exp(eta)) over (partition by tile_row, distance_band) * 1000000 as per_million from {centered}""")
 def owner_band_probability(t):
-    return R.owner_band_probability(centered(t).withColumn("rate", F.exp("eta")), "rate").select("pair_id", "probability")
+    return R.owner_band_probability(centered(t).withColumn("rate", F.exp("eta")), "rate").select("pair_id", (F.col("probability") * 1_000_000).alias("per_million"))
 
 
 LL = """
