@@ -358,7 +358,7 @@ o as (select *, row_number() over (partition by distance_band order by chrom) -
 d as (select distance_band, n, r, DRAW as i from (select distinct distance_band, n from o), range(0, 1000) a(r), range(0, 30) b(s) where s < n),
 v as (select distance_band, r, sum(x) / sum(y) as v from d join o using (distance_band, i) group by 1, 2)
 select v.distance_band, n as chroms, point, quantile_cont(v, 0.025) as lower, quantile_cont(v, 0.5) as median, quantile_cont(v, 0.975) as upper,
- (1 + count(*) filter (v <= 0)) / 201 as p_value from v join (select distance_band, count(*) as n, sum(x) / sum(y) as point from o group by 1) using (distance_band) group by 1, 2, 3
+ (1 + count(*) filter (v <= 0)) / 1001 as p_value from v join (select distance_band, count(*) as n, sum(x) / sum(y) as point from o group by 1) using (distance_band) group by 1, 2, 3
 """.replace("DRAW", DRAW.replace("{seed}", "11"))
 
 
