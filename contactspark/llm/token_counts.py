@@ -1,9 +1,9 @@
 """Token counts from pre-token frequencies, without ids.
 
 Byte-level BPE never merges across pre-tokens, so a text has as many tokens as its pre-tokens have together.  Texts are read once:
-each block of documents gives one row per distinct pre-token with the documents that hold it and how often.  Distinct
-pre-tokens of the whole corpus are counted by the tokenizer once each and joined to those rows; partial sums per
-document are added up by block.  A frequent pre-token has one row per block, and its join may be split.
+each block of documents gives one row per distinct pre-token with the documents that hold it and how often.  One shuffle brings
+the rows of a pre-token together; the tokenizer counts it once and the count is joined to its rows; partial sums per document are
+added up by block.  A pre-token that many documents of a block hold is spread over a fixed number of parts, each of which counts it once.
 """
 
 from __future__ import annotations
@@ -15,12 +15,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactspark.llm.common import columns_of, over_batches, written
+from contactspark.llm.common import columns_of
 from contactspark.llm.tokens import PIECES, SPECIAL, path_of
 
 LIMIT = 1024
@@ -65,35 +66,37 @@ class PreTokens:
         return out
 
 
-def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Binary array whose i-th entry holds the values up to ``ends[i]``."""
-    offsets = np.concatenate([[0], ends]).astype(np.int32) * values.itemsize
-    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
-
-
-FREQUENCIES = "block long, piece string, docs binary, times binary, ids array<long>, sizes array<long>"
-_FREQUENCIES = pa.schema([("block", pa.int64()), ("piece", pa.string()), ("docs", pa.binary()), ("times", pa.binary()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))])
+FREQUENT, SALTS = 256, 64  # a pre-token in so many documents of a block is spread over so many parts
+ROWS = "block long, piece string, salt int, postings binary"
+_ROWS = pa.schema([("block", pa.int64()), ("piece", pa.string()), ("salt", pa.int32()), ("postings", pa.binary())])
+_MOST = (1 << 16) - 1
 
 
 def block_rows(block: int, ids: list[int | None], texts: list[str], split: PreTokens) -> pa.RecordBatch:
-    """Frequencies of one block; the row without a piece lists its documents and their bytes."""
+    """Frequencies of one block as postings of (document, times), 16 bits each; the row without a piece holds ids, whether they are there, and bytes of its documents."""
     number: dict[str, int] = {}
     codes, times = [], []
     for text in texts:
         counts = Counter(split.of(text))
         codes.append(np.fromiter((number.setdefault(p, len(number)) for p in counts), np.int64, len(counts)))
-        times.append(np.fromiter(counts.values(), np.uint32, len(counts)))
-    docs = np.repeat(np.arange(len(texts)), [len(c) for c in codes]).astype("<u2")
-    code = np.concatenate(codes)
+        times.append(np.fromiter(counts.values(), np.int64, len(counts)))
+    docs, code, n = np.repeat(np.arange(len(texts)), [len(c) for c in codes]), np.concatenate(codes), np.concatenate(times)
+    if n.max(initial=0) > _MOST:  # a long text's postings beyond 16 bits are split
+        parts = -(-n // _MOST)
+        last = np.cumsum(parts) - 1
+        docs, code, rest = np.repeat(docs, parts), np.repeat(code, parts), n - (parts - 1) * _MOST
+        n = np.full(parts.sum(), _MOST)
+        n[last] = rest
     order = np.argsort(code, kind="stable")
-    ends = np.cumsum(np.bincount(code, minlength=len(number)))
-    n, none = len(number), pa.nulls
+    pairs = np.column_stack([docs[order], n[order]]).astype("<u2")
+    sizes = np.bincount(code, minlength=len(number))
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32) * 4
+    postings = pa.Array.from_buffers(pa.binary(), len(number), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(pairs.tobytes())])
+    salt = np.where(sizes >= FREQUENT, (block ^ block >> 32) % SALTS, 0)
+    names = np.array([[i or 0 for i in ids], [i is not None for i in ids], [len(t.encode()) for t in texts]], "<i8").tobytes()
     return pa.RecordBatch.from_arrays([
-        pa.array(np.full(n + 1, block)), pa.array([*number, None], pa.string()),
-        pa.concat_arrays([_packed(docs[order], ends), none(1, pa.binary())]), pa.concat_arrays([_packed(np.concatenate(times)[order].astype("<u4"), ends), none(1, pa.binary())]),
-        pa.concat_arrays([none(n, pa.list_(pa.int64())), pa.array([ids], pa.list_(pa.int64()))]),
-        pa.concat_arrays([none(n, pa.list_(pa.int64())), pa.array([[len(t.encode()) for t in texts]], pa.list_(pa.int64()))]),
-    ], schema=_FREQUENCIES)
+        pa.array(np.full(len(number) + 1, block)), pa.array([*number, None], pa.string()), pa.array(np.append(salt, block % (1 << 31)).astype(np.int32)),
+        pa.concat_arrays([postings, pa.array([names], pa.binary())])], schema=_ROWS)
 
 
 def frequencies(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -105,49 +108,69 @@ def frequencies(docs: DataFrame, vocabulary: str) -> DataFrame:
                 yield block_rows(block, part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()], split)
                 block += 1
 
-    return columns_of(docs, doc_id="long", text="string").mapInArrow(run, FREQUENCIES)
-
+    return columns_of(docs, doc_id="long", text="string").mapInArrow(run, ROWS)
 
-def piece_counts(pieces: DataFrame, vocabulary: str) -> DataFrame:
-    """``known, tokens``: each distinct pre-token and its tokens."""
 
-    def make():
-        known = library(vocabulary)
+FLUSH = 4_000_000  # sums that a task holds at most before it hands them on
+SUMS = "block long, docs binary, sums binary"
 
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = known.encode_batch(batch.column(0).to_pylist(), add_special_tokens=False)
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(f.ids) for f in found], pa.int32())], names=["known", "tokens"])
-        return step
 
-    return pieces.mapInArrow(over_batches(make), "known string, tokens int")
+def partial_sums(rows: DataFrame, vocabulary: str) -> DataFrame:
+    """Per block, the tokens that the pieces of a task add to its documents, and the blocks' lists of documents.
 
+    All rows of a piece are neighbours in one task (those of one salt, for a frequent piece): it is counted once and joined to them.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, last = library(vocabulary), ("", 0)
+        sums: dict[int, np.ndarray] = {}
 
-FLUSH = 4_000_000  # sums that a task holds at most before it hands them on
+        def out() -> pa.RecordBatch:
+            found = [(block, np.flatnonzero(s), s) for block, s in sums.items()]
+            return pa.RecordBatch.from_arrays([
+                pa.array([b for b, *_ in found], pa.int64()), pa.array([at.astype("<u2").tobytes() for _, at, _ in found], pa.binary()),
+                pa.array([s[at].astype("<i8").tobytes() for _, at, s in found], pa.binary())], names=NAMES)
 
+        for batch in batches:
+            named = batch.filter(pa.compute.is_null(batch.column(1)))
+            if named.num_rows:
+                yield pa.RecordBatch.from_arrays([named.column(0), pa.nulls(named.num_rows, pa.binary()), named.column(3)], names=NAMES)
+            batch = batch.filter(pa.compute.is_valid(batch.column(1)))
+            if not batch.num_rows:
+                continue
+            coded = batch.column(1).dictionary_encode()
+            pieces = coded.dictionary.to_pylist()
+            new = [p for p in pieces if p != last[0]]
+            tokens = {p: len(f.ids) for p, f in zip(new, known.encode_batch(new, add_special_tokens=False), strict=True)} | dict([last])
+            last = batch.column(1)[-1].as_py(), tokens[batch.column(1)[-1].as_py()]
+            per_row = np.array([tokens[p] for p in pieces])[coded.indices.to_numpy()]
+            joined = pa.concat_arrays([batch.column(3)])
+            ends = np.frombuffer(joined.buffers()[1], np.int32)[joined.offset:joined.offset + len(joined) + 1] // 4
+            pairs = np.frombuffer(joined.buffers()[2], "<u2")[2 * ends[0]:2 * ends[-1]].reshape(-1, 2)
+            row = np.repeat(np.arange(len(joined)), np.diff(ends))
+            block = batch.column(0).to_numpy()[row]
+            added = pairs[:, 1].astype(np.int64) * per_row[row]
+            order = np.argsort(block, kind="stable")
+            edges = np.flatnonzero(np.diff(block[order], prepend=-1))
+            for part in np.split(order, edges[1:]):
+                here = np.bincount(pairs[part, 0], weights=added[part]).astype(np.int64)
+                have = sums.get(int(block[part[0]]))
+                if have is None:
+                    sums[int(block[part[0]])] = here
+                elif len(have) < len(here):
+                    here[:len(have)] += have
+                    sums[int(block[part[0]])] = here
+                else:
+                    have[:len(here)] += here
+            if sum(map(len, sums.values())) > FLUSH:
+                yield out()
+                sums.clear()
+        if sums:
+            yield out()
 
-def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per block, the tokens that the pieces of this task add to its documents."""
-    sums: dict[int, np.ndarray] = {}
+    return rows.repartition("piece", "salt").sortWithinPartitions("piece").mapInArrow(run, SUMS)
 
-    def out() -> pa.RecordBatch:
-        rows = [(block, np.flatnonzero(s)) for block, s in sums.items()]
-        return pa.RecordBatch.from_arrays([
-            pa.array([b for b, _ in rows], pa.int64()), pa.array([at.astype("<u2").tobytes() for _, at in rows], pa.binary()),
-            pa.array([sums[b][at].astype("<i8").tobytes() for b, at in rows], pa.binary())], names=["block", "docs", "sums"])
 
-    for batch in batches:
-        for block, docs, times, tokens in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
-            at = np.frombuffer(docs, "<u2")
-            have = sums.get(block)
-            if have is None or len(have) <= at[-1]:
-                have = np.concatenate([have if have is not None else np.zeros(0, np.int64), np.zeros(int(at[-1]) + 1 - (0 if have is None else len(have)), np.int64)])
-                sums[block] = have
-            have[at] += np.frombuffer(times, "<u4").astype(np.int64) * tokens
-        if sum(map(len, sums.values())) > FLUSH:
-            yield out()
-            sums.clear()
-    if sums:
-        yield out()
+NAMES = [part.split()[0] for part in SUMS.split(", ")]
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,33 +178,25 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     block, total, named = None, np.zeros(0, np.int64), None
 
     def out() -> pa.RecordBatch:
-        ids, sizes = named
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(total[:len(ids)])], names=["doc_id", "n_bytes", "n_tokens"])
+        ids, there, sizes = named
+        return pa.RecordBatch.from_arrays([pa.array(ids, mask=there == 0), pa.array(sizes), pa.array(total[:len(ids)])], names=["doc_id", "n_bytes", "n_tokens"])
 
     for batch in batches:
-        for at, docs, part, ids, sizes in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
+        for at, docs, part in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
             if at != block:
-                if named:
+                if named is not None:
                     yield out()
                 block, total, named = at, np.zeros(BLOCK_ROWS, np.int64), None
-            if ids is not None:
-                named = ids, sizes
+            if docs is None:
+                named = np.frombuffer(part, "<i8").reshape(3, -1)
             else:
                 total[np.frombuffer(docs, "<u2")] += np.frombuffer(part, "<i8")
-    if named:
+    if named is not None:
         yield out()
 
 
 def counted(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit``, one row per row of ``docs``; null texts count as empty, with no tokens."""
     path = vocabulary or path_of(PIECES)
-    rows = written(frequencies(docs, path))
-    pieces = rows.where(F.col("piece").isNotNull())
-    counts = piece_counts(pieces.select("piece").distinct(), path)
-    parts = pieces.join(counts, F.col("piece") == F.col("known")).select("block", "docs", "times", "tokens").mapInArrow(
-        _partial_sums, "block long, docs binary, sums binary")
-    named = rows.where(F.col("piece").isNull()).select("block", F.lit(None).cast("binary").alias("docs"), F.lit(None).cast("binary").alias("sums"), "ids", "sizes")
-    none = F.lit(None).cast("array<bigint>")
-    every = parts.select("block", "docs", "sums", none.alias("ids"), none.alias("sizes")).unionByName(named)
-    totals = every.repartition("block").sortWithinPartitions("block").mapInArrow(_totals, "doc_id long, n_bytes long, n_tokens long")
+    totals = partial_sums(frequencies(docs, path), path).repartition("block").sortWithinPartitions("block").mapInArrow(_totals, "doc_id long, n_bytes long, n_tokens long")
     return totals.withColumn("over_limit", F.col("n_tokens") > LIMIT)

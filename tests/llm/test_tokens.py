@@ -32,7 +32,7 @@ def test_ids_are_those_of_the_library():
 
 
 def test_counts(spark):
-    texts = [*odd_texts(), None, "", PROSE, LONG, PROSE * 50]
+    texts = [*odd_texts(), None, "", PROSE, LONG, PROSE * 50, "x" + " x" * 70_000]
     rows = [(i, t, "en", "a") for i, t in enumerate(texts)] + [(0, texts[0], "en", "a"), (None, "x y", None, None)]
     got = sorted(((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.counted(docs_of(spark, rows).repartition(5)).collect()), key=str)
     assert got == sorted(((i, len((t or "").encode()), n := len(theirs(t)), n > 1024) for i, t, *_ in rows), key=str)
