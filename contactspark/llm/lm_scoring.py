@@ -16,8 +16,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactspark.llm.common import columns_of, over_batches, small_side, stored, written
+from contactspark.llm.common import columns_of, over_batches, small_side, stored
 from contactspark.llm.tokens import RANKS, SPECIAL_ID, ids_of, path_of
+from contactspark.operators.ordered import written
 
 EDGE = SPECIAL_ID + 1  # stands before the first token and behind the last
 VOCABULARY = EDGE + 1
