@@ -100,11 +100,15 @@ def hexadecimal(value: Column) -> Column:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of every group, with all its columns: the least id, and of rows that share it the least text hash.
+    """One row of every group, with all its columns, by the rule of ``keep_first``."""
+    return keep_first(docs, groups(stored(with_fingerprints(docs))))
+
+
+def keep_first(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """One row of every ``root`` of ``grouped``, with all its columns: the least id, and of rows that share it the least text hash.
 
     A null id comes after all others.  Of rows alike in id and text one stays.
     """
-    grouped = groups(stored(with_fingerprints(docs)))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     first = grouped.groupBy("root").agg(F.min(order).alias("s"))
     kept = first.select(F.xxhash64("s.doc_id", "s.text_hash").alias("__key"), F.col("s.text_hash").alias("__hash"))
