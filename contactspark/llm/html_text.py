@@ -32,11 +32,15 @@ OUTSIDE = frozenset("nav footer aside form menu dialog fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # words in class, id or role that name something other than the article
 NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe\w*|signup|login|share|sharing|"
+    r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe\w*|signup|login|share|sharing|"
     r"social|sidebar|side|widget|related|recommend\w*|menu|nav|navbar|navigation|breadcrumbs?|footer|foot|header|masthead|topbar|toolbar|comments?|commentlist|reply|replies|disqus|"
-    r"respond|search|pagination|pager|copyright|legal|disclaimer|skip|hidden|complementary|contentinfo)(?:$|[\s_-])", re.I)
+    r"respond|search|pagination|pager|copyright|legal|disclaimer|skip|hidden|complementary|contentinfo)", re.I)
+PARTS = re.compile(r"[_-]+")
+STATES = frozenset("with without no not has is overflow open closed enabled disabled".split())  # a token with one of these tells of a state
+BOXES = frozenset("area bar block box buttons container inner items left links list posts right section wrap wrapper".split())  # last parts that say nothing
+OWN = frozenset("article content entry page post section".split())  # their headers belong to the article
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
 SPACE = re.compile(r"\s+")
 
 
@@ -51,23 +55,57 @@ class Block:
     marked: bool
 
 
-def _foreign(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is a container for something other than the article; a header inside an article is part of it."""
-    if name in OUTSIDE or name == "header" and not inside:
-        return True
-    for key, *values in ATTRIBUTE.findall(attributes):
-        value, key = "".join(values), key.lower()
-        if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
-        if key in ("class", "id", "role") and name not in ("html", "body", "article", "main") and NAMED.search(value):
+def _named(value: str) -> bool:
+    """Whether the last telling part of a token names something other than the article."""
+    for token in value.lower().split():
+        parts = PARTS.split(token)
+        if STATES.intersection(parts):
+            continue
+        while len(parts) > 1 and (parts[-1] in BOXES or not parts[-1]):
+            parts.pop()
+        if NAMED.fullmatch(parts[-1]) and not (parts[-1] == "header" and OWN.intersection(parts[:-1])):
             return True
     return False
 
 
+def _foreign(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element is hidden, and whether it is a container for something other than the article; a header inside an article is part of it."""
+    hidden, other = False, name in OUTSIDE or name == "header" and not inside
+    for key, *values in ATTRIBUTE.findall(attributes):
+        value, key = "".join(values), key.lower()
+        hidden = hidden or key == "hidden" or key == "aria-hidden" and value.lower() == "true"
+        other = other or key in ("class", "id", "role") and name not in ("html", "body", "article", "main") and _named(value)
+    return hidden, other
+
+
+def _released(out: list[Block], within: list[int], parent: list[int]) -> None:
+    """Containers with most of the page's words are no longer outside, unless an article stands beside them."""
+    if any(b.inside and not b.outside and w < 0 for b, w in zip(out, within, strict=True)):
+        free = [False] * len(parent)
+    else:
+        words = [0] * len(parent)
+        for b, w in zip(out, within, strict=True):
+            if w >= 0:
+                words[w] += b.words
+        for i in range(len(parent) - 1, -1, -1):
+            if parent[i] >= 0:
+                words[parent[i]] += words[i]
+        half = sum(b.words for b in out) / 2
+        free = [n > half for n in words]
+    bad: list[bool] = []
+    for i, up in enumerate(parent):
+        bad.append(not free[i] or up >= 0 and bad[up])
+    for b, w in zip(out, within, strict=True):
+        b.outside = b.outside or w >= 0 and bad[w]
+
+
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order.  Unclosed, crossed and cut-off tags are taken as browsers take them, near enough."""
     out: list[Block] = []
-    stack: list[tuple[str, bool]] = []  # open elements and whether each is foreign
+    stack: list[tuple[str, bool, bool]] = []  # open elements, whether each is hidden, and whether it is a foreign container
+    parent: list[int] = []  # of each foreign container the one around it, -1 if there is none
+    within: list[int] = []  # of each block the innermost foreign container
+    inner = -1
     pieces: list[tuple[str, bool]] = []  # text and whether it is linked
     foreign = articles = links = 0
     heading = marked = False
@@ -79,20 +117,22 @@ def blocks_of(page: str) -> list[Block]:
             if text:
                 total = len(text.split())
                 linked = sum(len(html.unescape(t).split()) for t, link in pieces if link)
+                within.append(inner)
                 out.append(Block(text, total, min(linked, total), foreign > 0, articles > 0, heading, marked))
             pieces = []
 
     def pop(name: str) -> None:
-        nonlocal foreign, articles, links, heading
+        nonlocal foreign, articles, links, heading, inner
         at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
         if at is None:
             return
-        for gone, bad in stack[at:]:
+        for gone, bad, other in reversed(stack[at:]):
             foreign -= bad
+            inner = parent[inner] if other else inner
             articles -= gone in ("article", "main")
             links -= gone == "a"
         del stack[at:]
-        heading = any(n in HEADINGS for n, _ in stack)
+        heading = any(n in HEADINGS for n, *_ in stack)
 
     at = 0
     while True:
@@ -126,14 +166,18 @@ def blocks_of(page: str) -> list[Block]:
             pop("p")
         if name in ("li", "p", "tr", "td", "dd", "dt", "option") and stack and stack[-1][0] == name:
             pop(name)
-        bad = _foreign(name, attributes, articles > 0)
-        stack.append((name, bad))
+        bad, other = _foreign(name, attributes, articles > 0)
+        stack.append((name, bad, other))
         foreign += bad
+        if other:
+            parent.append(inner)
+            inner = len(parent) - 1
         articles += name in ("article", "main")
         links += name == "a"
         heading = heading or name in HEADINGS
         marked = "data-main" in attributes if name in BLOCKS else marked
     close()
+    _released(out, within, parent)
     return out
 
 
