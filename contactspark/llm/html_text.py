@@ -24,6 +24,7 @@ from contactspark.llm.html_examples import PAGES
 
 # fixed values: element names of HTML
 SKIPPED = frozenset("script style noscript template svg math iframe object canvas audio video select textarea button title".split())
+RAW = frozenset("script style textarea title iframe".split())  # without an end tag they run to the end of the page
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li "
     "main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -105,6 +106,7 @@ def blocks_of(page: str) -> list[Block]:
     stack: list[tuple[str, bool, bool]] = []  # open elements, whether each is hidden, and whether it is a foreign container
     parent: list[int] = []  # of each foreign container the one around it, -1 if there is none
     within: list[int] = []  # of each block the innermost foreign container
+    endless: set[str] = set()  # skipped elements without a further tag
     inner = -1
     pieces: list[tuple[str, bool]] = []  # text and whether it is linked
     foreign = articles = links = 0
@@ -148,8 +150,16 @@ def blocks_of(page: str) -> list[Block]:
             continue
         ends, attributes = bool(tag[1] or tag[4]), tag[3] or tag[6] or ""
         if name in SKIPPED and not ends:
-            over = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = over.end() if over else len(page)
+            if name in RAW:
+                over = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+                at = over.end() if over else len(page)
+            elif name not in endless and not (name in ("svg", "math") and attributes.endswith("/")):
+                # one that has no end tag before the next of its kind is left open: what follows is text
+                over = re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                if not over:
+                    endless.add(name)
+                elif over[1]:
+                    at = over.end()
             pieces.append((" ", False))
             continue
         if name == "br":

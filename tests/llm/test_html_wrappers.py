@@ -23,3 +23,9 @@ def test_what_is_outside_stays_outside(tree):
     for attributes in ("hidden", "class=share-buttons", "class='x cookie-notice'", "id=comments", "role=navigation", "aria-hidden='true'"):
         page = f"<article><p>{PROSE}</p></article><div {attributes}><p>{PROSE} {PROSE}</p></div>"
         assert html_text.main_text(page, tree) == PROSE
+
+
+@pytest.mark.parametrize("tag", ["<svg class=x />", "<math/>", "<button>", "<video src=a>", "<audio>", "<object data=b>", "<canvas>", "<video src=a><p>Go</p><video src=b>no</video>"])
+def test_text_behind_unclosed_elements(tree, tag):
+    assert html_text.main_text(f"<article><p>{PROSE}</p>{tag}<p>{PROSE}</p><p>{PROSE}</p></article>", tree).split("\n")[-1] == PROSE
+    assert html_text.main_text(f"<article><p>{PROSE}</p>{tag}<p>{PROSE}</p></article><svg><text>no</text></svg>", tree).count(PROSE) == 2
