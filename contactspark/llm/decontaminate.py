@@ -3,8 +3,9 @@
 Texts become tokens (letters and digits of each word, lower case).  In the template of a text, numbers, units behind a number and
 names (capitalised words inside a sentence) are typed placeholders.  Windows of five tokens are hashed twice: as they stand, and, where
 they hold a placeholder, as a template.  The windows of documents are joined by hash with those of benchmark items.  Windows on one
-diagonal (the same shift between document and item) belong to one use of the item; a use counts by its template only if every slot
-value of the item always meets the same value of the document.
+diagonal (the same shift between document and item) or in a narrow band of diagonals belong to one use of the item; a use counts by its template
+only if every slot value of the item always meets the same value of the document.  Literal windows count wherever they are, template
+windows only together with those of the same use.
 
 A bitmap of fixed size over the benchmark's hashes spares the join most windows of other texts; it drops nothing that could match.
 """
@@ -26,6 +27,7 @@ WINDOW = 5
 ENOUGH = 9  # windows: a run of 13 tokens
 SHARE = 0.5  # of the item's windows, if that is fewer
 LITERALS = 3  # of a template window's tokens at least
+BAND = 16  # diagonals
 BITMAP_BITS = 22
 # fixed values: common units of measure and money
 UNITS = frozenset(
@@ -216,7 +218,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and item it holds: ``doc_id, text_hash, item_id, n_windows, item_windows, reparameterised``.
 
     A document holds an item if it has at least nine of its windows, or half of them where the item has fewer than eighteen,
-    on consistent diagonals.  ``reparameterised``: only with the help of templates.  Null or empty texts and items, and items of fewer
+    its template windows in one consistent use.  ``reparameterised``: only with the help of templates.  Null or empty texts and items, and items of fewer
     than five tokens, match nothing; copies of a document each give their row, rows alike in id and text give one.
     """
     items = stored(item_windows(benchmark))
@@ -245,9 +247,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
     consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["of"])))
     seen = uses.withColumn("shaped", F.when(consistent, F.col("shaped")).otherwise(F.array().cast("array<bigint>")))
-    found = seen.select(*key, "total", F.explode(F.array_distinct(F.concat("plain", "shaped"))).alias("at"), "plain").select(
-        *key, "total", "at", F.array_contains("plain", F.col("at")).alias("exact"))
-    counted = found.groupBy(*key, "total").agg(F.count_distinct("at").alias("n_windows"), F.count_distinct(F.when(F.col("exact"), F.col("at"))).alias("n_exact"))
+    # template windows count for one use: one diagonal, or neighbouring ones (words put in or left out) whose slots agree
+    bands = seen.withColumn("offset", F.explode(F.array(F.lit(0), F.lit(BAND // 2)))).withColumn("band", F.floor((F.col("diagonal") + F.col("offset")) / BAND))
+    near_uses = bands.where(consistent).groupBy(*key, "total", "offset", "band").agg(
+        F.array_distinct(F.flatten(F.collect_list("shaped"))).alias("shaped"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs")).where(consistent)
+    every = seen.select(*key, "total", "plain", "shaped").union(near_uses.select(*key, "total", F.array().cast("array<bigint>").alias("plain"), "shaped"))
+    counted = every.groupBy(*key, "total").agg(F.array_distinct(F.flatten(F.collect_list("plain"))).alias("plain"), F.collect_set("shaped").alias("uses")).select(
+        *key, "total", F.size("plain").alias("n_exact"), F.array_max(F.transform("uses", lambda u: F.size(F.array_union("plain", u)))).alias("n_windows"))
     need = F.least(F.lit(ENOUGH), F.ceil(F.lit(SHARE) * F.col("total")))
     return counted.where(F.col("n_windows") >= need).select(
         *key, "n_windows", F.col("total").alias("item_windows"), (F.col("n_exact") < need).alias("reparameterised"))
