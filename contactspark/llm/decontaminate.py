@@ -238,7 +238,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows = read.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
         over_batches(make), "doc_id long, text_hash long, position long, hash long, slots array<string>")
     near = small_side(items, 96)
-    hits = windows.join(near, "hash").where(F.size("slots") == F.size("item_slots"))
+    # read by both band offsets below: stored, so that the texts are gone through once
+    hits = stored(windows.join(near, "hash").where(F.size("slots") == F.size("item_slots")))
     key = ["doc_id", "text_hash", "item_id"]
     pairs = F.arrays_zip(F.col("item_slots").alias("of"), F.col("slots").alias("to"))
     uses = hits.groupBy(*key, "total", (F.col("position") - F.col("item_position")).alias("diagonal")).agg(
