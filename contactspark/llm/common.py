@@ -26,6 +26,16 @@ def columns_of(df: DataFrame, **types: str) -> DataFrame:
     return df.select(*[(F.col(f"`{n}`") if n in have else F.lit(None)).cast(t).alias(n) for n, t in types.items()])
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as set it apart from the columns of ``df``."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Rows written once to the shared checkpoint folder, lineage cut.  Use it for narrow tables."""
     return checkpointed(df)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactspark.llm.common import columns_of, over_batches, small_side, stored, texts
+from contactspark.llm.common import columns_of, over_batches, small_side, stored, texts, unused
 
 WINDOW = 5
 ENOUGH = 9  # windows: a run of 13 tokens
@@ -262,8 +262,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns."""
-    found = stored(contaminated(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
+    of_id, of_hash = unused(docs, "__id", "__hash")
+    found = stored(contaminated(docs, benchmark).select(F.col("doc_id").alias(of_id), F.col("text_hash").alias(of_hash)).distinct())
     have = set(docs.columns)
     doc_id = (F.col("doc_id") if "doc_id" in have else F.lit(None)).cast("long")
     text = (F.col("text") if "text" in have else F.lit(None)).cast("string")
-    return docs.join(small_side(found, 24), doc_id.eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash")), "left_anti")
+    return docs.join(small_side(found, 24), doc_id.eqNullSafe(F.col(of_id)) & (F.xxhash64(text) == F.col(of_hash)), "left_anti")

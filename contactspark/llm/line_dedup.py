@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactspark.llm.common import SPACES, columns_of, let, small_side, stored
+from contactspark.llm.common import SPACES, columns_of, let, small_side, stored, unused
 
 RATIO = 0.1  # of a host's distinct pages
 MIN_PAGES = 5  # a line on fewer pages of a host is no boilerplate, however small the host
@@ -43,29 +43,30 @@ def boilerplate(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGE
 def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``docs`` with ``text`` rid of boilerplate lines and ``n_chars``, where there is one, counted anew; all rows stay.
 
-    Two columns are added: ``__lines`` (lines that are not blank) and ``__dropped``.  A null text stays null, an empty one empty;
+    Two columns come last: lines that are not blank, and those dropped (``__lines`` and ``__dropped``, or the like if those are taken).  A null text stays null, an empty one empty;
     other lines, blank ones included, keep their order.
     """
-    found = stored(boilerplate(docs, ratio, min_pages).select(F.col("host").alias("__host"), F.col("keys").alias("__keys")))
-    near = small_side(found, 24 * F.size("__keys") + 64)
+    host, keys, split_lines, gone, n_lines = unused(docs, "__host", "__keys", "__split", "__dropped", "__lines")
+    found = stored(boilerplate(docs, ratio, min_pages).select(F.col("host").alias(host), F.col("keys").alias(keys)))
+    near = small_side(found, 24 * F.size(keys) + 64)
     have = set(docs.columns)
     text = (F.col("text") if "text" in have else F.lit(None)).cast("string")
     source = (F.col("source") if "source" in have else F.lit(None)).cast("string")
 
     def of(lines: Column) -> Column:
         blank = F.filter(lines, lambda x: F.length(_bare(x)) > 0)
-        left = F.filter(lines, lambda x: (F.length(_bare(x)) == 0) | ~F.array_contains("__keys", _key(x)))
+        left = F.filter(lines, lambda x: (F.length(_bare(x)) == 0) | ~F.array_contains(keys, _key(x)))
         return let(F.struct(F.size(blank).alias("n"), left.alias("left")), lambda s: F.struct(
             s["n"].cast("long").alias("lines"), (F.size(lines) - F.size(s["left"])).cast("long").alias("gone"), s["left"].alias("left")))
 
     split = let(F.split(text, "\n"), of)
-    marked = docs.join(near, source.eqNullSafe(F.col("__host")), "left").withColumn("__split", F.when(
-        F.col("__keys").isNotNull(), split).otherwise(let(F.split(text, "\n"), lambda x: F.struct(
+    marked = docs.join(near, source.eqNullSafe(F.col(host)), "left").withColumn(split_lines, F.when(
+        F.col(keys).isNotNull(), split).otherwise(let(F.split(text, "\n"), lambda x: F.struct(
             F.size(F.filter(x, lambda y: F.length(_bare(y)) > 0)).cast("long").alias("lines"), F.lit(0).cast("long").alias("gone"), x.alias("left")))))
-    some = (F.col("__split.gone") > 0) & (F.col("__split.gone") < F.col("__split.lines"))
-    out = marked.withColumn("__dropped", F.when(some, F.col("__split.gone")).otherwise(F.lit(0)).cast("long")).withColumn(
-        "__lines", F.when(text.isNull(), F.lit(0)).otherwise(F.col("__split.lines")).cast("long")).withColumn(
-        "text", F.when(some, F.array_join("__split.left", "\n")).otherwise(text))
+    some = (F.col(f"{split_lines}.gone") > 0) & (F.col(f"{split_lines}.gone") < F.col(f"{split_lines}.lines"))
+    out = marked.withColumn(gone, F.when(some, F.col(f"{split_lines}.gone")).otherwise(F.lit(0)).cast("long")).withColumn(
+        n_lines, F.when(text.isNull(), F.lit(0)).otherwise(F.col(f"{split_lines}.lines")).cast("long")).withColumn(
+        "text", F.when(some, F.array_join(f"{split_lines}.left", "\n")).otherwise(text))
     if "n_chars" in have:
-        out = out.withColumn("n_chars", F.when(F.col("__dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns, "__lines", "__dropped")
+        out = out.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns, n_lines, gone)

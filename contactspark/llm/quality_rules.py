@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from contactspark.llm.common import columns_of, let, small_side, stored, words_of
+from contactspark.llm.common import columns_of, let, small_side, stored, unused, words_of
 
 WINDOW = 8
 SYMBOLS = "[#*$%&|<>]"
@@ -168,8 +168,10 @@ def judged(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
-    rejected = judged(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("lang").alias("__lang"), F.col("source").alias("__source"))
+    names = unused(docs, "__id", "__hash", "__lang", "__source")
+    rejected = judged(docs).where(~F.col("kept")).select(*[F.col(c).alias(n) for c, n in zip(("doc_id", "text_hash", "lang", "source"), names, strict=True)])
     have = set(docs.columns)
     of = {n: (F.col(n) if n in have else F.lit(None)).cast(t) for n, t in (("doc_id", "long"), ("lang", "string"), ("source", "string"), ("text", "string"))}
-    same = of["doc_id"].eqNullSafe(F.col("__id")) & F.xxhash64(of["text"]).eqNullSafe(F.col("__hash")) & of["lang"].eqNullSafe(F.col("__lang")) & of["source"].eqNullSafe(F.col("__source"))
+    i, h, lang, source = map(F.col, names)
+    same = of["doc_id"].eqNullSafe(i) & F.xxhash64(of["text"]).eqNullSafe(h) & of["lang"].eqNullSafe(lang) & of["source"].eqNullSafe(source)
     return docs.join(rejected, same, "left_anti")

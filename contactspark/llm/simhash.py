@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from contactspark.llm.common import columns_of, over_batches, stored, texts
+from contactspark.llm.common import columns_of, over_batches, stored, texts, unused
 from contactspark.llm.components import components
 
 RADIUS = 2
@@ -111,11 +111,12 @@ def keep_first(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     """
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     first = grouped.groupBy("root").agg(F.min(order).alias("s"))
-    kept = first.select(F.xxhash64("s.doc_id", "s.text_hash").alias("__key"), F.col("s.text_hash").alias("__hash"))
+    key, hashed, number = unused(docs, "__key", "__hash", "__nth")
+    kept = first.select(F.xxhash64("s.doc_id", "s.text_hash").alias(key), F.col("s.text_hash").alias(hashed))
     have = set(docs.columns)
     doc_id = (F.col("doc_id") if "doc_id" in have else F.lit(None)).cast("long")
     text = (F.col("text") if "text" in have else F.lit(None)).cast("string")
-    marked = docs.withColumn("__hash", F.xxhash64(text)).withColumn("__key", F.xxhash64(doc_id, F.col("__hash")))
-    rest = [c for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith(("map", "array", "struct", "variant"))]
-    nth = F.row_number().over(W.partitionBy("__key", "__hash").orderBy(*rest or ["__key"]))
-    return marked.join(kept, ["__key", "__hash"], "left_semi").withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
+    marked = docs.withColumn(hashed, F.xxhash64(text)).withColumn(key, F.xxhash64(doc_id, F.col(hashed)))
+    rest = [F.col(f"`{c}`") for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith(("map", "array", "struct", "variant"))]
+    nth = F.row_number().over(W.partitionBy(key, hashed).orderBy(*rest or [key]))
+    return marked.join(kept, [key, hashed], "left_semi").withColumn(number, nth).where(F.col(number) == 1).select(*docs.columns)
