@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactspark.llm import (
-    decontaminate, html_text, language_id, line_dedup, lm_scoring, packing, quality_classifier, quality_rules, simhash, token_counts,
+    decontaminate, html_text, language_id, line_dedup, lm_scoring, packing, prefix_trie, quality_classifier, quality_rules, simhash, spelling,
+    token_counts,
 )
 from contactspark.llm.common import stored, table
 
@@ -128,3 +129,13 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_language_id")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.predicted(table(spark, folder, "documents"))
+
+
+@query("op11_prefix_trie")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, folder, "conversations"))
+
+
+@query("op12_spelling")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
