@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactspark.llm import (
-    decontaminate, html_text, language_id, line_dedup, lm_scoring, packing, prefix_trie, quality_classifier, quality_rules, simhash, spelling,
+    decontaminate, html_text, language_id, line_dedup, lm_scoring, packing, personal_data, prefix_trie, quality_classifier, quality_rules, simhash, spelling,
     token_counts,
 )
 from contactspark.llm.common import stored, table
@@ -139,3 +139,15 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_spelling")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(table(spark, folder, "documents"))
+
+
+@query("op13_personal_data")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """The counts and the digest are those of the fixed patterns; ``spans`` also has what the model adds."""
+    found = personal_data.with_spans(table(spark, folder, "documents"))
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["rank"] == kind)).cast("long").alias(f"n_{personal_data.KINDS[kind]}")
+
+    counts = map(count, range(len(personal_data.KINDS)))
+    return found.select("doc_id", *counts, F.sha2(personal_data.listed(F.col("base")), 256).alias("base_sha256"), personal_data.listed(F.concat("base", "added")).alias("spans"))
