@@ -6,16 +6,18 @@ one of two disjoint pivots, so of two near words the one whose prefix ends earli
 the other (were it outside, it would come behind the end of that prefix, hence of its own).  Where the third bigram occurs again, the
 next two places belong to the index as well: an edit makes two new bigrams, which may come before a pivot.
 
-Positions narrow this down.  An edit lies on one side of a pivot that it leaves whole, so on the other side the words agree to their
-ends: the pivot has the same position from the left, and the same text before it, or the same from the right.  The index therefore
-holds, for every gram of a prefix, the word's head up to it and the word's tail from it; a word asks with three of the four
-heads and tails of its pivots, which cover every place of an edit:
-
-* edit behind the second pivot: head through the second pivot;  edit before it: tail from the second pivot;
-* edit in the second pivot: head through the first pivot;
-
-or the same seen from the right, whichever has the longer texts.  Lengths that can match are part of the key.  Every candidate
-is verified by its edit distance.
+Positions narrow this down.  What an edit leaves of a word keeps its distance from the left end before the edit, and from the right
+end behind it.  So for each place of an edit there is a key made of whole ends of the word that hold the surviving pivots:
+
+* behind the second pivot: the head through the second pivot;
+* before the first pivot: the tail from the first pivot;
+* between the pivots: the head through the first and the tail from the second;
+* in the second pivot: the head through the first pivot; where that has fewer than five letters, also letters behind it or at the
+  word's other end, five in all;
+* in the first pivot: the same from the right.
+
+A word asks with these five keys.  The index holds the keys that each gram, or pair of grams, of a word's prefix can answer to: at a
+given position only one to four splits of the missing letters exist.  Every candidate is verified by its edit distance.
 """
 
 from __future__ import annotations
@@ -41,7 +43,6 @@ NEW = 2  # bigrams that one edit makes
 HELD = 200_000  # distinct words a task counts before it hands them on
 RUN = re.compile(r"[A-Za-zÀ-ÿ]{%d,}" % LEAST)  # shorter runs give no word
 _TIMES = np.uint64(0x9E3779B97F4A7C15)  # fixed value: 2**64 over the golden ratio
-_HEAD, _TAIL = np.uint64(0x51ED270B), np.uint64(0x2545F491)
 
 
 def words_in(doc_id: int | None, text: bytes) -> Counter:
@@ -129,10 +130,15 @@ def _ends(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(values * powers, axis=1, dtype=np.uint64), np.cumsum((values * powers[::-1])[:, ::-1], axis=1, dtype=np.uint64)[:, ::-1]
 
 
-def _key(text: np.ndarray, side: np.uint64, size: int) -> np.ndarray:
-    out = (text ^ side) * _TIMES + np.uint64(size)
+def _key(kind: int, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    out = (head ^ np.uint64(kind)) * _TIMES
     out ^= out >> np.uint64(32)
-    return (out * _TIMES).view(np.int64)
+    out = (out + tail) * _TIMES
+    return (out ^ (out >> np.uint64(29))).view(np.int64)
+
+
+HEAD, TAIL, BOTH, HEAD_MORE, TAIL_MORE = range(1, 6)
+KNOWN = 5  # letters in a key for an edit in a pivot; two less than the shortest word has
 
 
 def _prefixes(grams: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,15 +148,74 @@ def _prefixes(grams: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndar
     return first, np.take_along_axis(place, first, axis=1)
 
 
-def _table(batch: pa.RecordBatch, rows: list, keys: list, last: list, prefix: str) -> pa.RecordBatch:
+class Ends:
+    """Hashes of heads and tails of words of one length."""
+
+    def __init__(self, letters: np.ndarray):
+        self.size = letters.shape[1]
+        heads, tails = _ends(letters)
+        none = np.zeros((len(letters), 1), np.uint64)
+        self.heads, self.tails = np.hstack([none, heads]), np.hstack([tails, none])  # by length of the head, by start of the tail
+
+    def through(self, row, gram) -> np.ndarray:
+        return _key(HEAD, self.heads[row, gram + 2], np.uint64(0))
+
+    def since(self, row, gram) -> np.ndarray:
+        return _key(TAIL, np.uint64(0), self.tails[row, gram])
+
+    def both(self, row, first, second) -> np.ndarray:
+        return _key(BOTH, self.heads[row, first + 2], self.tails[row, second])
+
+    def through_and(self, row, gram, more) -> np.ndarray:
+        """Head through the gram and ``more`` letters behind it, the rest of the known letters from the other end."""
+        return _key(HEAD_MORE, self.heads[row, gram + 2 + more], self.tails[row, self.size - (KNOWN - gram - 2 - more)])
+
+    def since_and(self, row, gram, more) -> np.ndarray:
+        return _key(TAIL_MORE, self.heads[row, KNOWN - (self.size - gram) - more], self.tails[row, gram - more])
+
+
+def asked(letters: np.ndarray, order: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, keys and ends of prefixes of the five questions of each word."""
+    grams, row, ends = _grams(letters), np.arange(len(letters)), Ends(letters)
+    first, place = _prefixes(grams, order)
+    allowed = np.zeros(grams.shape, bool)
+    allowed[row[:, None], first[:, :PREFIX]] = True
+    p, q = pivots(weight[grams], allowed)
+    before, behind = np.maximum(0, KNOWN - 2 - p), np.maximum(0, KNOWN - ends.size + q)  # letters that a pivot's own end lacks
+    between = q - p - 2
+    in_second, in_first = ends.through(row, p), ends.since(row, q)
+    at = np.flatnonzero(before)
+    in_second[at] = ends.through_and(at, p[at], np.minimum(between, before)[at])
+    at = np.flatnonzero(behind)
+    in_first[at] = ends.since_and(at, q[at], np.minimum(between, behind)[at])
+    keys = [ends.through(row, q), ends.since(row, p), ends.both(row, p, q), in_second, in_first]
+    return np.tile(row, len(keys)), np.concatenate(keys), np.tile(place[:, PREFIX - 1], len(keys))
+
+
+def answered(letters: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, keys and ends of prefixes of all that each word answers to."""
+    ends = Ends(letters)
+    first, place = _prefixes(_grams(letters), order)
+    last = place[:, PREFIX - 1]
+    inside = place <= last[:, None]
+    row, column = np.nonzero(inside)
+    gram = first[row, column]
+    rows, keys = [row, row], [ends.through(row, gram), ends.since(row, gram)]
+    for a in range(first.shape[1]):
+        for b in range(a + 1, first.shape[1]):
+            low, high = np.minimum(first[:, a], first[:, b]), np.maximum(first[:, a], first[:, b])
+            at = np.flatnonzero(inside[:, a] & inside[:, b] & (high >= low + 2))
+            rows.append(at)
+            keys.append(ends.both(at, low[at], high[at]))
+    for more in range(KNOWN - 1):
+        at = (gram + 2 + more <= KNOWN) & (gram + 2 < KNOWN)
+        rows.append(row[at])
+        keys.append(ends.through_and(row[at], gram[at], more))
+        at = (ends.size - gram + more <= KNOWN) & (ends.size - gram < KNOWN)
+        rows.append(row[at])
+        keys.append(ends.since_and(row[at], gram[at], more))
     at = np.concatenate(rows)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate(keys)), pa.array(np.concatenate(last)), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))],
-        names=[f"{prefix}_key", f"{prefix}_last", f"{prefix}_word", f"{prefix}_n"])
-
-
-def _schema(prefix: str) -> str:
-    return f"{prefix}_key long, {prefix}_last long, {prefix}_word string, {prefix}_n long"
+    return at, np.concatenate(keys), last[at]
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -160,48 +225,18 @@ def near_words(words: DataFrame) -> DataFrame:
     order[np.argsort(counts, kind="stable")] = np.arange(1 << 16)
     tables = words.sparkSession.sparkContext.broadcast((counts.astype(float), order))  # of fixed size
 
-    def asks():
-        weight, order = tables.value
-
+    def keyed(prefix: str, keys_of):
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows, keys, lasts = [], [], []
-            for at, letters in _by_length(batch.column(0)):
-                grams = _grams(letters)
-                first, place = _prefixes(grams, order)
-                row, size, last = np.arange(len(at)), letters.shape[1], place[:, PREFIX - 1]
-                allowed = np.zeros(grams.shape, bool)
-                allowed[row[:, None], first[:, :PREFIX]] = True
-                p, q = pivots(weight[grams], allowed)
-                heads, tails = _ends(letters)
-                left = q + 2 >= size - p
-                third = np.where(left, heads[row, q + 1] ^ _HEAD, tails[row, p] ^ _TAIL)
-                for near in (size - 1, size, size + 1):
-                    for text in (heads[row, p + 1] ^ _HEAD, tails[row, q] ^ _TAIL, third):
-                        rows.append(at)
-                        keys.append(_key(text, np.uint64(0), near))
-                        lasts.append(last)
-            return _table(batch, rows, keys, lasts, "r")
-        return step
-
-    def index():
-        _, order = tables.value
+            found = [(rows[at], keys, lasts) for rows, letters in _by_length(batch.column(0)) for at, keys, lasts in [keys_of(letters)]]
+            rows, keys, lasts = (np.concatenate([f[i] for f in found]) for i in range(3))
+            at = pa.array(rows)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(keys), pa.array(lasts), batch.column(0).take(at), batch.column(1).take(at)], names=[f"{prefix}_{c}" for c in ("key", "last", "word", "n")])
 
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows, keys, lasts = [], [], []
-            for at, letters in _by_length(batch.column(0)):
-                first, place = _prefixes(_grams(letters), order)
-                last = place[:, PREFIX - 1]
-                heads, tails = _ends(letters)
-                row, column = np.nonzero(place <= last[:, None])
-                start = first[row, column]
-                for text, side in ((heads[row, start + 1], _HEAD), (tails[row, start], _TAIL)):
-                    rows.append(at[row])
-                    keys.append(_key(text, side, letters.shape[1]))
-                    lasts.append(last[row])
-            return _table(batch, rows, keys, lasts, "s")
-        return step
-
-    asking, indexed = words.mapInArrow(over_batches(asks), _schema("r")), words.mapInArrow(over_batches(index), _schema("s"))
+        return words.mapInArrow(over_batches(lambda: step), f"{prefix}_key long, {prefix}_last long, {prefix}_word string, {prefix}_n long")
+
+    asking = keyed("r", lambda letters: asked(letters, tables.value[1], tables.value[0]))
+    indexed = keyed("s", lambda letters: answered(letters, tables.value[1]))
     met = asking.join(indexed, (F.col("r_key") == F.col("s_key")) & (F.col("r_last") <= F.col("s_last")) & (F.col("r_word") != F.col("s_word")))
     near = met.where(F.levenshtein("r_word", "s_word", 1) == 1)
     turned = F.col("r_word") > F.col("s_word")
