@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contactspark.functions.draws import uniform
+from contactspark.operators.ordered import running_totals
 
 
 def chrom_bootstrap(
@@ -53,6 +59,63 @@ def chrom_bootstrap_mean(rows: DataFrame, groups: list[str], metric: str, *, rep
     return chrom_bootstrap(means, groups, "_m", "_one", replicates=replicates, seed=seed, minimum_chroms=2).drop("p_value")
 
 
+def draw_weights(chroms: int, replicates: int, seed: int) -> np.ndarray:
+    """How often each replicate draws each chromosome, ``chroms x replicates``; the draws are those of ``functions.draws``."""
+    out = np.zeros((chroms, replicates))
+    for r in range(replicates):
+        for slot in range(chroms):
+            u = int(hashlib.md5(f"{seed}|{r}|{slot}".encode()).hexdigest()[:13], 16) / 2.0 ** 52
+            out[int(u * chroms), r] += 1
+    return out
+
+
+def resampled_classification(
+    rows: DataFrame, groups: list[str], score: str, label: str, *, replicates: int, seed: int, chrom: str = "chrom"
+) -> DataFrame:
+    """Average precision and AUROC of every group in every replicate of a chromosome bootstrap: ``replicate, auprc, auroc``.
+
+    Neither is a ratio of sums over chromosomes, so replicates cannot be made of per-chromosome values. Rows are folded to distinct scores with one
+    count per chromosome; one ordered pass accumulates these counts, and a replicate's thresholds are weighted sums of them: a
+    product of two small matrices per batch. All groups share the draws, so that differences between them can be taken within a replicate.
+    Metrics are null in a replicate without both classes. The chromosomes of the table, bounded by the genome, are listed on the driver.
+    """
+    names = sorted(r[0] for r in rows.select(chrom).distinct().collect())
+    width = range(len(names))
+    hit = F.col(label).cast("long")
+    folded = rows.groupBy(*groups, score).agg(
+        *[F.sum(F.when(F.col(chrom) == n, 1).otherwise(0)).alias(f"_n{i}") for i, n in enumerate(names)],
+        *[F.sum(F.when(F.col(chrom) == n, hit).otherwise(0)).alias(f"_p{i}") for i, n in enumerate(names)])
+    both = [f"{kind}{i}" for kind in "np" for i in width]
+    run = running_totals(folded, groups, [(score, True)], {f"_c{b}": f"_{b}" for b in both}, {f"_t{b}": f"_{b}" for b in both})
+    columns = ["_n", "_p", "_cn", "_cp", "_tn", "_tp"]
+    packed = run.select(*groups, *[F.array(*[F.col(f"{c}{i}").cast("double") for i in width]).alias(c) for c in columns])
+    weights = draw_weights(len(names), replicates, seed)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, part in batch.groupby(groups, dropna=False, sort=False):
+                n, p, cn, cp = (np.stack(part[c].to_list()) @ weights for c in columns[:4])
+                tn, tp = (part[c].iloc[0] @ weights for c in columns[4:])
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    precision = np.where(cn > 0, cp / cn, 0.0)
+                yield pd.DataFrame({
+                    **dict(zip(groups, key, strict=True)), "replicate": np.arange(replicates), "_ap": (p * precision).sum(axis=0),
+                    "_wins": ((n - p) * (cp - p / 2)).sum(axis=0), "_pos": tp, "_neg": tn - tp})
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*[f"`{g}` {kinds[g]}" for g in groups], "replicate long, _ap double, _wins double, _pos double, _neg double"])
+    sums = packed.mapInPandas(partial, schema).groupBy(*groups, "replicate").agg(
+        F.sum("_ap").alias("_ap"), F.sum("_wins").alias("_wins"), F.max("_pos").alias("_pos"), F.max("_neg").alias("_neg"))
+    some = (F.col("_pos") > 0) & (F.col("_neg") > 0)
+    return sums.select(*groups, "replicate", F.when(some, F.col("_ap") / F.col("_pos")).alias("auprc"), F.when(some, F.col("_wins") / F.col("_pos") / F.col("_neg")).alias("auroc"))
+
+
+def quantile_band(replicates: DataFrame, groups: list[str], values: list[str], confidence: float = 0.975) -> DataFrame:
+    """``<value>_lower, _median, _upper`` over the replicates of each group; nulls are left out."""
+    points = (("lower", 1.0 - confidence), ("median", 0.5), ("upper", confidence))
+    return replicates.groupBy(*groups).agg(*[F.percentile(v, F.lit(q)).alias(f"{v}_{name}") for v in values for name, q in points])
+
+
 def cap_events(events: DataFrame, groups: list[str], limit: int, seed: int, item: str = "pair_id") -> DataFrame:
     """At most ``limit`` events per group, drawn without replacement by a hash order.
 

@@ -160,13 +160,13 @@ def resample_rank_controls(positives: DataFrame, pairs: DataFrame, support: Data
         F.when(F.col("control_id").isNotNull(), F.col("support_weight")).otherwise(0.0).alias("support_weight"))
 
 
-def matched_negatives(pairs: DataFrame, label: str, near: str, seed: int) -> DataFrame:
-    """One negative per positive, not near a loop, alike in chromosome, raw bucket and score decile.
+def matched_negatives(pairs: DataFrame, label: str, near: str, seed: int, groups: tuple[str, ...] = ("distance_band",), strict: bool = True) -> DataFrame:
+    """One negative per positive, not near a loop, alike in group, chromosome, raw bucket and score decile.
 
-    Tiers: same distance, same 50 kb, anything; the first that has a candidate is used.
-    ``pairs`` comes from ``with_match_buckets``.
+    Tiers: same distance, same 50 kb, anything; the first that has a candidate is used. A positive without any is an error, or, if not
+    ``strict``, a row of the tier ``unmatched`` without a negative. ``pairs`` comes from ``with_match_buckets``.
     """
-    common = ["chrom", "raw_bucket", "score_decile"]
+    common = [*groups, "chrom", "raw_bucket", "score_decile"]
     tiers = [("exact_10kb", [*common, "distance_bp"]), ("within_50kb", [*common, "distance_50kb"]), ("within_band", common)]
     negatives = pairs.filter(~F.col(near))
     out = pairs.filter(F.col(label)).select("pair_id", *common, "distance_bp", "distance_50kb")
@@ -180,11 +180,12 @@ def matched_negatives(pairs: DataFrame, label: str, near: str, seed: int) -> Dat
     for name, _ in reversed(tiers):
         found = F.col(f"size_{name}").isNotNull()
         tier, size = F.when(found, name).otherwise(tier), F.when(found, F.col(f"size_{name}")).otherwise(size)
-    out = out.withColumns({"tier": tier, "_size": size}).withColumn(
-        "tier", F.coalesce("tier", F.raise_error(F.lit("no matched negative")).cast("string"))).withColumn(
+    none = F.raise_error(F.lit("no matched negative")).cast("string") if strict else F.lit("unmatched")
+    out = out.withColumns({"tier": tier, "_size": size}).withColumn("tier", F.coalesce("tier", none)).withColumn(
         "position", integer_below("_size", seed, "pair_id"))
     picked = [out.filter(F.col("tier") == name).join(pool, [*keys, "position"]).select("pair_id", "negative_id", "tier") for name, keys, pool in pools]
-    return picked[0].unionByName(picked[1]).unionByName(picked[2])
+    alone = out.filter("tier = 'unmatched'").select("pair_id", F.lit(None).cast("long").alias("negative_id"), "tier")
+    return picked[0].unionByName(picked[1]).unionByName(picked[2]).unionByName(alone)
 
 
 def pack_groups(sizes: DataFrame, maximum: int, seed: int, key: str) -> DataFrame:

@@ -162,30 +162,38 @@ def family_identity(t):
 
 
 SOURCES = {"score": "score", "raw_oe": "raw_oe", "smoothed_oe": "smoothed_oe", "distance_only": "-distance_bp", "swapped": "score2"}
-STEPS["loop_sources"] = """
+STEPS["loop_wide"] = """
 with o as (select *, case when avg(counts_a) over (partition by distance_bp) > 0 then counts_a / avg(counts_a) over (partition by distance_bp) else 0 end as raw_oe from {labelled}),
 s as (select o.pair_id, sum(n.raw_oe) as smoothed_oe from o join (select o.chrom, o.bin_i + a * 10000 as bin_i, o.bin_j + b * 10000 as bin_j, raw_oe from o, range(-1, 2) x(a), range(-1, 2) y(b)) n
   on n.chrom = o.chrom and n.bin_i = o.bin_i and n.bin_j = o.bin_j group by 1),
-l as (select o.*, smoothed_oe from o join s using (pair_id)),
-u as (select pair_id, distance_band, 'score' as source, score as value, exact, near from l union all select pair_id, distance_band, 'raw_oe', raw_oe, exact, near from l
- union all select pair_id, distance_band, 'smoothed_oe', smoothed_oe, exact, near from l union all select pair_id, distance_band, 'distance_only', -distance_bp, exact, near from l
- union all select pair_id, distance_band, 'swapped', score2, exact, near from l)
-select 'exact' as mode, distance_band, source, round(value, 9) as value, cast(exact as int) as hit from u union all select 'anchor_tolerance_10kb', distance_band, source, round(value, 9), cast(near as int) from u"""
+l as (select o.*, smoothed_oe from o join s using (pair_id))
+select * replace (round(score, 9) as score, round(score2, 9) as score2, round(raw_oe, 9) as raw_oe, round(smoothed_oe, 9) as smoothed_oe) from l"""
+STEPS["loop_long"] = """
+select l.pair_id, l.chrom, l.distance_band, l.counts_a, l.exact, l.near, v.source, v.value from {loop_wide} l, unnest([{'source': 'score', 'value': score}, {'source': 'raw_oe', 'value': raw_oe},
+ {'source': 'smoothed_oe', 'value': smoothed_oe}, {'source': 'distance_only', 'value': -distance_bp}, {'source': 'swapped', 'value': score2}]) x(v)"""
+STEPS["loop_sources"] = """
+select 'exact' as mode, distance_band, source, value, cast(exact as int) as hit from {loop_long} union all select 'anchor_tolerance_10kb', distance_band, source, value, cast(near as int) from {loop_long}"""
 
 
-@query("loop_recovery", """
+RECOVERY = """
 with d as (select mode, distance_band, source, value, count(*) as n, sum(hit) as p from {loop_sources} group by 1, 2, 3, 4),
 c as (select *, sum(n) over w as cn, sum(p) over w as cp, sum(n) over g as tn, sum(p) over g as tp from d window g as (partition by mode, distance_band, source), w as (partition by mode, distance_band, source order by value desc)),
 m as (select mode, distance_band, source, max(tn) as n, max(tp) as p, sum(p / tp * (cp / cn)) as ap, sum((n - p) * (cp - p + p / 2)) / max(tp * (tn - tp)) as auc from c group by 1, 2, 3),
 k as (select mode, distance_band, source, tp, tn, cast(greatest(1, ceil(tn * cast(0.01 as double))) as bigint) as k, cp - p + (ceil(tn * cast(0.01 as double)) - cn + n) * (p / n) as e from c where cn >= ceil(tn * cast(0.01 as double)) and cn - n < ceil(tn * cast(0.01 as double)))
 select mode, distance_band, source, cast(m.n as bigint) as candidates, cast(m.p as bigint) as positives, m.p / m.n as prevalence, ap as auprc, ap / (m.p / m.n) as auprc_lift, auc as auroc, k,
- e / k as top1_precision, e / tp as top1_recall, (e / k) / (tp / tn) as top1_enrichment from m join k using (mode, distance_band, source)""")
-def loop_recovery(t):
+ e / k as top1_precision, e / tp as top1_recall, (e / k) / (tp / tn) as top1_enrichment from m join k using (mode, distance_band, source)"""
+
+
+def loop_pairs(t):
     rows = Rec.with_count_scores(t.scored, "counts_a", BIN_SIZE)
     # sums of neighbours come in any order: rounding keeps equal sums equal
     rows = rows.withColumns({"raw_oe": F.round("raw_oe", 9), "smoothed_oe": F.round("smoothed_oe", 9)})
-    rows = rows.withColumns({"score": F.round("score", 9), "score2": F.round("score2", 9)})
-    return Rec.loop_recovery(rows, full_loops(t), SOURCES, BIN_SIZE)
+    return rows.withColumns({"score": F.round("score", 9), "score2": F.round("score2", 9)})
+
+
+@query("loop_recovery", RECOVERY)
+def loop_recovery(t):
+    return Rec.loop_recovery(loop_pairs(t), full_loops(t), SOURCES, BIN_SIZE)
 
 
 @query("ep_recovery")
@@ -362,11 +370,35 @@ def balanced_observed(t):
     return Map.balanced_observed(per, weights, 7, t.tiles, BIN_SIZE)
 
 
+STEPS["cis_pixels"] = """
+select chrom1 as chrom, bin_i, bin_j, count(*) as c from {anchored} where chrom1 = chrom2 group by all"""
+STEPS["balancing_bins"] = """
+with e as (select chrom, bin_i as bin, c from {cis_pixels} union all select chrom, bin_j, c from {cis_pixels}),
+r as (select chrom, bin, sum(c) as m, count(*) as nnz from e group by all), l as (select *, ln(m / quantile_cont(m, 0.5) over (partition by chrom)) as l from r),
+g as (select *, quantile_cont(l, 0.5) over () as centre from l), d as (select *, quantile_cont(abs(l - centre), 0.5) over () as spread from g)
+select chrom, bin, nnz >= 10 and l >= centre - 5 * spread as kept from d"""
+
+
+def cis_pixels(t):
+    return K.contacts_to_pixels(t.raw_contacts.filter("chrom1 = chrom2"), BIN_SIZE)
+
+
 @query("ice_balance")
 def ice_balance(t):
-    # neighbouring bins pooled to 50 kb, so that most bins have enough signal
-    wide = K.coarsen_pixels(K.contacts_to_pixels(t.raw_contacts.filter("chrom1 = chrom2"), BIN_SIZE), BIN_SIZE, 5)
-    return Map.ice_balance(wide, min_nnz=5, tolerance=1e-3)
+    return Map.ice_balance(cis_pixels(t))
+
+
+@query("ice_marginals", """
+select chrom, bin, kept, case when kept then cast(1 as double) end as marginal from {balancing_bins}""")
+def ice_marginals(t):
+    """Sums of the balanced pixels of each bin: one for every bin that is kept, to four places."""
+    pixels = cis_pixels(t)
+    w = Map.ice_balance(pixels, tolerance=1e-10, iterations=1000)
+    left, right = (w.select("chrom", F.col("bin").alias(f"bin_{c}"), F.col("weight").alias(f"w{c}")) for c in "ij")
+    value = F.col("count") * F.col("wi") * F.col("wj")
+    sums = pixels.select("chrom", "bin_i", "bin_j", "count").join(left, ["chrom", "bin_i"]).join(right, ["chrom", "bin_j"]).select(
+        "chrom", F.explode(F.array("bin_i", "bin_j")).alias("bin"), value.alias("v")).groupBy("chrom", "bin").agg(F.sum("v").alias("v"))
+    return w.join(sums, ["chrom", "bin"], "left").select("chrom", "bin", F.col("weight").isNotNull().alias("kept"), F.when(F.col("weight").isNotNull(), F.round("v", 4)).alias("marginal"))
 
 
 @query("adaptive_smooth", """

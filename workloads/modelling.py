@@ -280,22 +280,26 @@ def resample_rank_controls(t):
     return X.resample_rank_controls(positives(t), t.scored, support, 4, seed=31)
 
 
-@query("matched_negatives", f"""
-with r as (select *, rank() over (partition by distance_band order by score) + (count(*) over (partition by distance_band, score) - 1) / 2 as rank, count(*) over (partition by distance_band) as size from {{scored}}),
-m as (select pair_id, chrom, distance_bp, distance_bp // 50000 as d50, least(counts_a, 1) as bucket, cast(least(floor(rank / (size + 1) * 10), 9) as bigint) as decile, counts_b >= 2 as label, counts_b >= 1 as near from r),
-n as (select *, row_number() over a - 1 as pa, count(*) over (partition by chrom, bucket, decile, distance_bp) as na, row_number() over b - 1 as pb, count(*) over (partition by chrom, bucket, decile, d50) as nb,
-  row_number() over c - 1 as pc, count(*) over (partition by chrom, bucket, decile) as nc from m where not near
-  window a as (partition by chrom, bucket, decile, distance_bp order by pair_id), b as (partition by chrom, bucket, decile, d50 order by pair_id), c as (partition by chrom, bucket, decile order by pair_id)),
-s as (select m.*, a.na, b.nb, c.nc, {drawn(37, "m.pair_id")} as u from m left join (select distinct chrom, bucket, decile, distance_bp, na from n) a using (chrom, bucket, decile, distance_bp)
-  left join (select distinct chrom, bucket, decile, d50, nb from n) b using (chrom, bucket, decile, d50) left join (select distinct chrom, bucket, decile, nc from n) c using (chrom, bucket, decile) where label)
-select s.pair_id, n.pair_id as negative_id, 'exact_10kb' as tier from s join n on s.na is not null and n.chrom = s.chrom and n.bucket = s.bucket and n.decile = s.decile and n.distance_bp = s.distance_bp and n.pa = floor(u * s.na)
-union all select s.pair_id, n.pair_id, 'within_50kb' from s join n on s.na is null and s.nb is not null and n.chrom = s.chrom and n.bucket = s.bucket and n.decile = s.decile and n.d50 = s.d50 and n.pb = floor(u * s.nb)
-union all select s.pair_id, n.pair_id, 'within_band' from s join n on s.na is null and s.nb is null and n.chrom = s.chrom and n.bucket = s.bucket and n.decile = s.decile and n.pc = floor(u * s.nc)""")
+def matched_text(pairs: str, label: str, near: str, seed: int) -> str:
+    """DuckDB text of the matched negatives of ``pairs``; ``label`` and ``near`` are conditions on its columns."""
+    return f"""
+with r as (select *, rank() over (partition by distance_band order by score) + (count(*) over (partition by distance_band, score) - 1) / 2 as rank, count(*) over (partition by distance_band) as size from {pairs}),
+m as (select pair_id, distance_band as band, chrom, distance_bp, distance_bp // 50000 as d50, least(counts_a, 3) as bucket, cast(least(floor(rank / (size + 1) * 10), 9) as bigint) as decile, {label} as label, {near} as near from r),
+n as (select *, row_number() over a - 1 as pa, count(*) over (partition by band, chrom, bucket, decile, distance_bp) as na, row_number() over b - 1 as pb, count(*) over (partition by band, chrom, bucket, decile, d50) as nb,
+  row_number() over c - 1 as pc, count(*) over (partition by band, chrom, bucket, decile) as nc from m where not near
+  window a as (partition by band, chrom, bucket, decile, distance_bp order by pair_id), b as (partition by band, chrom, bucket, decile, d50 order by pair_id), c as (partition by band, chrom, bucket, decile order by pair_id)),
+s as (select m.*, a.na, b.nb, c.nc, {drawn(seed, "m.pair_id")} as u from m left join (select distinct band, chrom, bucket, decile, distance_bp, na from n) a using (band, chrom, bucket, decile, distance_bp)
+  left join (select distinct band, chrom, bucket, decile, d50, nb from n) b using (band, chrom, bucket, decile, d50) left join (select distinct band, chrom, bucket, decile, nc from n) c using (band, chrom, bucket, decile) where label)
+select s.pair_id, n.pair_id as negative_id, 'exact_10kb' as tier from s join n on s.na is not null and n.band = s.band and n.chrom = s.chrom and n.bucket = s.bucket and n.decile = s.decile and n.distance_bp = s.distance_bp and n.pa = floor(u * s.na)
+union all select s.pair_id, n.pair_id, 'within_50kb' from s join n on s.na is null and s.nb is not null and n.band = s.band and n.chrom = s.chrom and n.bucket = s.bucket and n.decile = s.decile and n.d50 = s.d50 and n.pb = floor(u * s.nb)
+union all select s.pair_id, n.pair_id, 'within_band' from s join n on s.na is null and s.nb is null and s.nc is not null and n.band = s.band and n.chrom = s.chrom and n.bucket = s.bucket and n.decile = s.decile and n.pc = floor(u * s.nc)
+union all select s.pair_id, null, 'unmatched' from s where s.nc is null"""
+
+
+@query("matched_negatives", matched_text("{scored}", "counts_b >= 2", "counts_b >= 1", 37))
 def matched_negatives(t):
-    # counts are low here, so buckets tell seen from unseen pairs
-    rows = X.with_match_buckets(t.scored, "counts_a", "score").withColumns({
-        "raw_bucket": F.least("counts_a", F.lit(1)), "label": F.col("counts_b") >= 2, "near": F.col("counts_b") >= 1})
-    return X.matched_negatives(rows, "label", "near", seed=37)
+    rows = X.with_match_buckets(t.scored, "counts_a", "score").withColumns({"label": F.col("counts_b") >= 2, "near": F.col("counts_b") >= 1})
+    return X.matched_negatives(rows, "label", "near", seed=37, strict=False)
 
 
 @query("thin_counts", f"""
