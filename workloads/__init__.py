@@ -1,4 +1,4 @@
-from workloads import annotation, counting, discovery, gates, modelling, ranking, recovery
+from workloads import annotation, counting, discovery, extension, gates, modelling, ranking, recovery
 from workloads.base import QUERIES, oracle
 
-__all__ = ["QUERIES", "annotation", "counting", "discovery", "gates", "modelling", "oracle", "ranking", "recovery"]
+__all__ = ["QUERIES", "annotation", "counting", "discovery", "extension", "gates", "modelling", "oracle", "ranking", "recovery"]
