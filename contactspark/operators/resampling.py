@@ -77,9 +77,9 @@ def resampled_classification(
     Neither is a ratio of sums over chromosomes, so replicates cannot be made of per-chromosome values. Rows are folded to distinct scores with one
     count per chromosome; one ordered pass accumulates these counts, and a replicate's thresholds are weighted sums of them: a
     product of two small matrices per batch. All groups share the draws, so that differences between them can be taken within a replicate.
-    Metrics are null in a replicate without both classes. The chromosomes of the table, bounded by the genome, are listed on the driver.
+    Metrics are null in a replicate without both classes; rows without a chromosome are in none. The chromosomes of the table, bounded by the genome, are listed on the driver.
     """
-    names = sorted(r[0] for r in rows.select(chrom).distinct().collect())
+    names = sorted(r[0] for r in rows.select(chrom).distinct().collect() if r[0] is not None) or [""]
     width = range(len(names))
     hit = F.col(label).cast("long")
     folded = rows.groupBy(*groups, score).agg(

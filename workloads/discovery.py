@@ -393,7 +393,7 @@ select chrom, bin, kept, case when kept then cast(1 as double) end as marginal f
 def ice_marginals(t):
     """Sums of the balanced pixels of each bin: one for every bin that is kept, to four places."""
     pixels = cis_pixels(t)
-    w = Map.ice_balance(pixels, tolerance=1e-10, iterations=1000)
+    w = Map.ice_balance(pixels, tolerance=1e-12)
     left, right = (w.select("chrom", F.col("bin").alias(f"bin_{c}"), F.col("weight").alias(f"w{c}")) for c in "ij")
     value = F.col("count") * F.col("wi") * F.col("wj")
     sums = pixels.select("chrom", "bin_i", "bin_j", "count").join(left, ["chrom", "bin_i"]).join(right, ["chrom", "bin_j"]).select(
