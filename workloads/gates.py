@@ -87,7 +87,7 @@ def topology_tables(t):
     model = K.model_vs_target(rows, keys, "score", "target", "full_count", 0.01)
     weighted = model.withColumns({"x": F.col("k") * F.col("overlap"), "y": F.col("k") * F.col("chance")})
     top = B.chrom_bootstrap(weighted, ["distance_band"], "x", "y", replicates=REPLICATES, seed=2)
-    replicate = K.model_vs_target(rows.filter("counts_a > 0 or counts_b > 0 or true"), keys, "counts_b", "counts_a", "counts_a", 0.01)
+    replicate = K.model_vs_target(rows, keys, "counts_b", "counts_a", "counts_a", 0.01)
 
     def excess(df, name):
         return df.groupBy("distance_band").agg((F.sum(F.col("k") * F.col("overlap_excess")) / F.sum("k")).alias(name))
