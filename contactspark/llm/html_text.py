@@ -39,6 +39,10 @@ NAMED = re.compile(
 PARTS = re.compile(r"[_-]+")
 STATES = frozenset("with without no not has is overflow open closed enabled disabled".split())  # a token with one of these tells of a state
 BOXES = frozenset("area bar block box buttons container inner items left links list posts right section wrap wrapper".split())  # last parts that say nothing
+# what stays outside even with most of the page's words
+NEVER = re.compile(
+    r"(?:ads?|advert\w*|adsense|cookies?|consent|gdpr|footer|foot|contentinfo|comments?|commentlist|reply|replies|disqus|respond|menu|nav|navbar|navigation|copyright|legal|disclaimer|notice|alert|popup|modal|"
+    r"newsletter|subscribe\w*|signup|login|share|sharing|social|related|recommend\w*|search|pagination|pager)", re.I)
 OWN = frozenset("article content entry page post section".split())  # their headers belong to the article
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
@@ -56,8 +60,8 @@ class Block:
     marked: bool
 
 
-def _named(value: str) -> bool:
-    """Whether the last telling part of a token names something other than the article."""
+def _named(value: str) -> str:
+    """The last telling part of a token that names something other than the article, or nothing."""
     for token in value.lower().split():
         parts = PARTS.split(token)
         if STATES.intersection(parts):
@@ -65,22 +69,30 @@ def _named(value: str) -> bool:
         while len(parts) > 1 and (parts[-1] in BOXES or not parts[-1]):
             parts.pop()
         if NAMED.fullmatch(parts[-1]) and not (parts[-1] == "header" and OWN.intersection(parts[:-1])):
-            return True
-    return False
+            return parts[-1]
+    return ""
 
 
-def _foreign(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element is hidden, and whether it is a container for something other than the article; a header inside an article is part of it."""
+def _foreign(name: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is hidden, whether it is a container for something other than the article, and whether it stays so whatever it holds.
+
+    A header inside an article is part of it.
+    """
     hidden, other = False, name in OUTSIDE or name == "header" and not inside
+    never = other
     for key, *values in ATTRIBUTE.findall(attributes):
         value, key = "".join(values), key.lower()
         hidden = hidden or key == "hidden" or key == "aria-hidden" and value.lower() == "true"
-        other = other or key in ("class", "id", "role") and name not in ("html", "body", "article", "main") and _named(value)
-    return hidden, other
+        if key in ("class", "id", "role") and name not in ("html", "body", "article", "main") and (part := _named(value)):
+            other, never = True, never or bool(NEVER.fullmatch(part))
+    return hidden, other, never
+
 
+def _released(out: list[Block], within: list[int], parent: list[int], never: list[bool]) -> None:
+    """Containers with most of the page's words are no longer outside, unless an article stands beside them.
 
-def _released(out: list[Block], within: list[int], parent: list[int]) -> None:
-    """Containers with most of the page's words are no longer outside, unless an article stands beside them."""
+    Footers, navigation, forms, asides, comments, adverts, notices and the like stay outside, but for one that holds all words of the page.
+    """
     if any(b.inside and not b.outside and w < 0 for b, w in zip(out, within, strict=True)):
         free = [False] * len(parent)
     else:
@@ -91,8 +103,8 @@ def _released(out: list[Block], within: list[int], parent: list[int]) -> None:
         for i in range(len(parent) - 1, -1, -1):
             if parent[i] >= 0:
                 words[parent[i]] += words[i]
-        half = sum(b.words for b in out) / 2
-        free = [n > half for n in words]
+        every = sum(b.words for b in out)
+        free = [n == every if never[i] else 2 * n > every for i, n in enumerate(words)]
     bad: list[bool] = []
     for i, up in enumerate(parent):
         bad.append(not free[i] or up >= 0 and bad[up])
@@ -105,12 +117,14 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # open elements, whether each is hidden, and whether it is a foreign container
     parent: list[int] = []  # of each foreign container the one around it, -1 if there is none
+    never: list[bool] = []  # whether it stays outside
     within: list[int] = []  # of each block the innermost foreign container
+    opened: dict[str, int] = {}  # open elements by name
     endless: set[str] = set()  # skipped elements without a further tag
     inner = -1
     pieces: list[tuple[str, bool]] = []  # text and whether it is linked
-    foreign = articles = links = 0
-    heading = marked = False
+    foreign = articles = links = headings = 0
+    marked = False
 
     def close() -> None:
         nonlocal pieces
@@ -120,21 +134,22 @@ def blocks_of(page: str) -> list[Block]:
                 total = len(text.split())
                 linked = sum(len(html.unescape(t).split()) for t, link in pieces if link)
                 within.append(inner)
-                out.append(Block(text, total, min(linked, total), foreign > 0, articles > 0, heading, marked))
+                out.append(Block(text, total, min(linked, total), foreign > 0, articles > 0, headings > 0, marked))
             pieces = []
 
     def pop(name: str) -> None:
-        nonlocal foreign, articles, links, heading, inner
-        at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-        if at is None:
-            return
-        for gone, bad, other in reversed(stack[at:]):
+        nonlocal foreign, articles, links, headings, inner
+        # an end tag without its element costs nothing, any other as much as it closes
+        closed = not opened.get(name)
+        while not closed:
+            gone, bad, other = stack.pop()
+            opened[gone] -= 1
             foreign -= bad
             inner = parent[inner] if other else inner
             articles -= gone in ("article", "main")
             links -= gone == "a"
-        del stack[at:]
-        heading = any(n in HEADINGS for n, *_ in stack)
+            headings -= gone in HEADINGS
+            closed = gone == name
 
     at = 0
     while True:
@@ -176,18 +191,20 @@ def blocks_of(page: str) -> list[Block]:
             pop("p")
         if name in ("li", "p", "tr", "td", "dd", "dt", "option") and stack and stack[-1][0] == name:
             pop(name)
-        bad, other = _foreign(name, attributes, articles > 0)
+        bad, other, stays = _foreign(name, attributes, articles > 0)
         stack.append((name, bad, other))
+        opened[name] = opened.get(name, 0) + 1
         foreign += bad
         if other:
             parent.append(inner)
+            never.append(stays)
             inner = len(parent) - 1
         articles += name in ("article", "main")
         links += name == "a"
-        heading = heading or name in HEADINGS
+        headings += name in HEADINGS
         marked = "data-main" in attributes if name in BLOCKS else marked
     close()
-    _released(out, within, parent)
+    _released(out, within, parent, never)
     return out
 
 
