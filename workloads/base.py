@@ -62,9 +62,12 @@ class Inputs(Tables):
 
     @cached_property
     def sums(self) -> DataFrame:
-        """Counts per context and pair with the halves of every split, from raw records."""
-        cells = E.cell_masks(self.membership, self.assignments, SPLITS)
-        return E.pair_sums(self.raw_contacts, cells, self.universe, SPLITS, bin_size=BIN_SIZE, low=250_000, high=1_000_000)
+        """Counts per context and pair with the halves of every split, from raw records; stored once like the pair table."""
+        key = (self.spark.sparkContext.applicationId, self.folder + "#sums")
+        if key not in STORED:
+            cells = E.cell_masks(self.membership, self.assignments, SPLITS)
+            STORED[key] = written(E.pair_sums(self.raw_contacts, cells, self.universe, SPLITS, bin_size=BIN_SIZE, low=250_000, high=1_000_000))
+        return STORED[key]
 
     @cached_property
     def outputs(self) -> DataFrame:
