@@ -19,7 +19,7 @@ from workloads.base import STORED, Inputs
 HEADLINE = [
     "contacts_to_pixels", "contact_filter", "route_contacts", "family_half_counts", "evidence_counts", "assign_pair_id", "replicate_support", "annotate_anchors",
     "classification_metrics", "exact_quantiles", "conditional_ll", "topk_overlap_neighbour", "catalog_support", "adaptive_smooth", "reproducibility_summary",
-    "overlap_mean", "draw_controls", "neighbour_count", "ice_balance", "matched_bootstrap", "context_extension_tests",
+    "overlap_mean", "draw_controls", "neighbour_count", "ice_balance",
 ]
 
 
