@@ -3,11 +3,12 @@
 import gzip
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from contactspark.functions import scalars
-from contactspark.operators import contacts, contexts, intervals, neighbours, universe
+from contactspark.operators import contacts, contexts, intervals, maps, neighbours, universe
 from contactspark.plans import gates
 from contactspark.settings import BANDS, Band, Geometry, check_bands, check_calibration, check_strata, distance_range
 from contactspark.sources import tables, text
@@ -199,3 +200,36 @@ def test_gates_fail_on_missing_values(spark):
     assert all(v for (b, _), v in got.items() if b == "near") and not any(v for (b, _), v in got.items() if b == "far")
     cal = spark.createDataFrame([("s", "near", 0.1, 1.05, None)], "output_id string, distance_band string, gain_lower double, observed_predicted_ratio double, calibration_slope double")
     assert {r.check: r.passed for r in gates.calibration_gate(cal).collect()} == {"deviance": True, "total_ratio": True, "slope": False}
+
+
+def test_block_sums_across_block_edges(spark):
+    draw = np.random.default_rng(5)
+    edge = 10 * neighbours.BLOCK
+    spots = sorted({(int(a), int(b)) for a, b in zip(draw.integers(edge // 10 - 6, edge // 10 + 6, 90) * 10, draw.integers(2 * edge // 10 - 6, 2 * edge // 10 + 6, 90) * 10)})
+    rows = [(c, i, j, None if n % 7 == 0 else float(n)) for c in "ab" for n, (i, j) in enumerate(spots) if c == "a" or n % 2]
+    df = spark.createDataFrame(rows, "chrom string, bin_i long, bin_j long, v double")
+    for tolerance in (1, 3):
+        got = {(r.chrom, r.bin_i, r.bin_j): (r.v, r.neighbour_sum) for r in neighbours.neighbour_sum(df, "v", 10, tolerance).collect()}
+        assert len(got) == len(rows)
+        for chrom, i, j, v in rows:
+            near = [w for c, a, b, w in rows if c == chrom and abs(a - i) <= 10 * tolerance and abs(b - j) <= 10 * tolerance and w is not None]
+            assert got[chrom, i, j] == (v, sum(near) if near else None)
+    plan = neighbours.neighbour_sum(df, "v", 10)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # one for either side, none between the passes
+
+
+def test_adaptive_smooth_against_plain_python(spark):
+    draw = np.random.default_rng(6)
+    side = 37
+    rows = [(t, i, j, int(draw.poisson(0.3)), float(draw.random())) for t in (0, 1) for i in range(side) for j in range(side) if draw.random() < 0.8]
+    df = spark.createDataFrame(rows, "tile_row int, i long, j long, count long, observed double")
+    got = {(r.tile_row, r.i, r.j): (r.level, r.value) for r in maps.adaptive_smooth(df, side, cutoff=3.0).collect()}
+    for t, i, j, *_ in rows:
+        for level in range(4):  # 37, 19, 10 and 5 blocks wide
+            block = [r for r in rows if r[0] == t and r[1] >> level == i >> level and r[2] >> level == j >> level]
+            if sum(r[3] for r in block) >= 3:
+                break
+        value = sum(r[4] for r in block) / len(block)
+        assert got[t, i, j][0] == level and abs(got[t, i, j][1] - value) < 1e-9
+    plan = maps.adaptive_smooth(df, side)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
