@@ -22,8 +22,8 @@ from contactspark.sources.text import parse_bedpe
 from contactspark.streaming.ingest import counted as stream_counted
 from contactspark.streaming.ingest import ingest_contacts_stream
 from workloads.annotation import contact_lines, ep_table
-from workloads.base import BIN_SIZE, CONTEXTS, OUTPUTS, SPLITS, STEPS, query
-from workloads.modelling import band_fit, centered
+from workloads.base import BIN_SIZE, CONTEXTS, OUTPUTS, SPLITS, STEPS, drawn, query
+from workloads.modelling import centered
 
 STEPS["calls"] = """
 select chrom1 as chrom, p1 - p1 % 10000 as bin_i, p2 - p2 % 10000 as bin_j, cell_type as member, source, call_probability as probability from (
@@ -433,34 +433,100 @@ def network_inputs(t):
 KEPT = ["pair_id", "tile_row", "distance_bin", "distance_band", "split", "exposure", "distance_offset"]
 
 
-@query("score_pairs")
+# error function at multiples of 1/512 by its series of positive terms, with slopes
+STEPS["erf_grid"] = """
+select n, coalesce(exp(-power(n / 512e0, 2)) * list_sum([exp((2 * k + 1) * ln(n / 512e0) - lgamma(k + 1.5e0)) for k in range(0, 220) if n > 0]), 0) as value,
+  2 / sqrt(pi()) * exp(-power(n / 512e0, 2)) as slope from range(0, 3075) g(n)"""
+
+
+def layer_text(values: str, size: int, shift: float, units: int = 16) -> str:
+    """One layer: sums by the cosine weights, then the gate by the error function, interpolated on the grid."""
+    return f"""
+with w as (select r, [cos((r * {size} + c) * 0.7e0 + {shift}e0) / sqrt({size}) for c in range(0, {size})] as w from range(0, {units}) u(r)),
+z as (select pair_id, r, list_inner_product(x, w) as z from {values} v, w),
+e as (select *, least(abs(z / sqrt(2e0)), 6e0) * 512 as far from z),
+f as (select e.*, far - floor(far) as u, a.value as v0, a.slope as s0, b.value as v1, b.slope as s1 from e join {{erf_grid}} a on a.n = cast(floor(far) as bigint) join {{erf_grid}} b on b.n = cast(floor(far) as bigint) + 1)
+select pair_id, list(0.5e0 * z * (1 + sign(z) * ((1 + 2 * u) * (1 - u) * (1 - u) * v0 + u * u * (3 - 2 * u) * v1 + u * (1 - u) * ((1 - u) * s0 - u * s1) / 512)) order by r) as x from f group by 1"""
+
+
+STEPS["network_inputs"] = """
+select pair_id, [score, score2, score + score2, exposure + exposure, abs(score - score2), 0, score + score2, abs(score - score2), score] as x,
+  [score, exposure + score, abs(exposure - score)] as technical from {scored}"""
+STEPS["hidden1"] = layer_text("{network_inputs}", 9, 0.1)
+STEPS["hidden2"] = layer_text("{hidden1}", 16, 0.2)
+STEPS["network_scores"] = """
+select pair_id, list_inner_product(h.x, [cos(c * 0.7e0 + 0.3e0) / 4 for c in range(0, 16)]) as residual_score,
+  list_inner_product(technical, [cos(c * 0.7e0 + 0.4e0) / sqrt(3e0) for c in range(0, 3)]) as technical_offset, h.x as hidden
+from {hidden2} h join {network_inputs} using (pair_id)"""
+# intercepts that make training sums agree, with a dispersion of a quarter
+STEPS["band_levels"] = """
+select distance_band, ln(sum(full_count) / sum(exposure * exp(distance_offset))) as alpha from {scored} where split = 'train' group by 1"""
+
+
+def band_levels(t):
+    rows = t.scored.filter("split = 'train'").groupBy("distance_band").agg(
+        F.log(F.sum("full_count") / F.sum(F.col("exposure") * F.exp("distance_offset"))).alias("alpha"))
+    return rows.withColumn("dispersion", F.lit(0.25))
+
+
+def bounds_text(table: str, mean: str) -> str:
+    """Cumulative probabilities under dispersion 1/4: a fourth success after more than k failures is at most three in k + 4 trials."""
+    return f"""
+select *, len(list_filter(cdf, lambda c: c < 0.025e0)) as lower, len(list_filter(cdf, lambda c: c < 0.975e0)) as upper from (
+ select *, [1 - (power(q, k + 4) + (k + 4) * p * power(q, k + 3) + (k + 4) * (k + 3) / 2 * p * p * power(q, k + 2) + (k + 4) * (k + 3) * (k + 2) / 6 * p * p * p * power(q, k + 1))
+   for k in range(0, (select cast(40 + 12 * max({mean}) as bigint) from {table}))] as cdf
+ from (select *, 4 / (4 + {mean}) as p, {mean} / (4 + {mean}) as q from {table}))"""
+
+
+@query("score_pairs", "select pair_id, residual_score, technical_offset from {network_scores}")
 def score_pairs(t):
     return Sc.score_pairs(network_inputs(t), network(9, 3), ["pair_id"])
 
 
-@query("context_delta")
+@query("context_delta", """
+with p as (select pair_id, [list_inner_product(hidden, [cos((p * 16 + c) * 0.7e0 + 0.5e0) / 4 for c in range(0, 16)]) for p in range(0, 4)] as v from {network_scores}),
+k as (select context_index as k, cell_type as output_id, [cos((p * 5 + context_index) * 0.7e0 + 0.6e0) / sqrt(5e0) - list_avg([cos((p * 5 + o) * 0.7e0 + 0.6e0) / sqrt(5e0) for o in range(0, 5)])
+  for p in range(0, 4)] as w from {contexts}),
+d as (select pair_id, output_id, list_inner_product(v, w) / sqrt(list_inner_product(v, v)) as d from p, k)
+select pair_id, tile_row, distance_bin, output_id, d - avg(d) over (partition by output_id, tile_row, distance_bin) as delta from d join {universe} using (pair_id)""")
 def context_delta(t):
     scored = Sc.score_pairs(network_inputs(t), network(9, 3), KEPT, np.eye(5))
-    return Sc.context_deltas(scored, CONTEXTS).groupBy("output_id").agg(F.count(F.lit(1)).alias("pairs"), F.avg("delta").alias("mean_delta"), F.stddev("delta").alias("sd_delta"))
+    return Sc.context_deltas(scored, CONTEXTS)
+
 
+STEPS["sparse_rates"] = """
+select *, rate / 4 as expected_count from (select pair_id, tile_row, distance_band,
+  exp(ln(exposure) + distance_offset + residual_score - avg(residual_score) over (partition by tile_row, distance_bin) + alpha) as rate
+  from {network_scores} join {scored} using (pair_id) join {band_levels} using (distance_band))"""
 
-@query("predict_sparse")
+
+@query("predict_sparse", f"""
+with b as ({bounds_text("{sparse_rates}", "expected_count")}),
+u as (select *, {drawn(5, "tile_row", "pair_id")} as u from b)
+select pair_id, expected_count, lower, upper, len(list_filter(cdf, lambda c: c < u)) as simulated_count,
+  rate / sum(rate) over (partition by tile_row, distance_band) * 1000000 as per_million from u""")
 def predict_sparse(t):
     scored = Sc.score_pairs(network_inputs(t), network(9, 3), KEPT)
-    out = Sc.predict_sparse(scored, "residual_score", band_fit(t), depth=250_000, seed=5)
-    return out.groupBy("tile_row", "distance_band").agg(
-        F.count(F.lit(1)).alias("pairs"), F.sum("probability").alias("probability"), F.sum("expected_count").alias("expected"),
-        F.count_if((F.col("lower") <= F.col("expected_count")) & (F.col("upper") + 1 >= F.col("expected_count"))).alias("bracketed"))
+    out = Sc.predict_sparse(scored, "residual_score", band_levels(t), depth=250_000, seed=5)
+    return out.select("pair_id", "expected_count", "lower", "upper", "simulated_count", (F.col("probability") * 1_000_000).alias("per_million"))
+
+
+STEPS["output_rates"] = """
+select pair_id, tile_row, distance_band, delta, centered + delta as residual, exp(eta + distance_offset + delta + alpha) as rate
+from {centered} join {band_levels} using (distance_band), (select unnest([0e0, 0.1e0]) as delta)"""
 
 
-@query("export_rates")
+@query("export_rates", f"""
+with b as (select *, rate / sum(rate) over (partition by delta, tile_row, distance_band) * 1000000 as per_million from ({bounds_text("{output_rates}", "rate")}))
+select cell_type as output_id, pair_id, tile_row, distance_band, rate, lower, upper, residual, per_million
+from b join {{contexts}} on delta = case when context_index = 1 then 0.1e0 else 0 end""")
 def export_rates(t):
     rollout = t.contexts.select(F.col("cell_type").alias("output_id"), F.lit("shared").alias("calibration_source"),
                                 F.when(F.col("context_index") < 2, F.col("cell_type")).alias("delta_source"))
-    calibration = band_fit(t).withColumn("output_id", F.lit("shared"))
+    calibration = band_levels(t).withColumn("output_id", F.lit("shared"))
     full = t.universe.select("pair_id", F.inline(F.array(*[F.struct(F.lit(c).alias("output_id"), F.lit(n * 0.1).alias("delta")) for n, c in enumerate(CONTEXTS[:2])])))
     out = Sc.export_rates(t.scored, "score", full, rollout, calibration, CONTEXTS)
-    return out.groupBy("output_id", "distance_band").agg(F.count(F.lit(1)).alias("pairs"), F.sum("probability").alias("probability"), F.sum("rate").alias("rate"))
+    return out.withColumn("per_million", F.col("probability") * 1_000_000).drop("probability")
 
 
 @query("stream_ingest", """
