@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contactspark.functions.draws import uniform
 from contactspark.functions.scalars import fdiv, fraction_k
 from contactspark.operators.contacts import CELL, PAIR, canonical_anchors, unique_cells
-from contactspark.operators.ordered import numbered
+from contactspark.operators.ordered import checkpointed, numbered
 
 
 def balanced_halves(membership: DataFrame, splits: int, seed: int) -> DataFrame:
@@ -247,20 +247,26 @@ def half_depths(membership: DataFrame, assignments: DataFrame, families: DataFra
 def thin_counts(counts: DataFrame, keys: list[str], item: str, value: str, depth: DataFrame, seed: int) -> DataFrame:
     """Draw ``depth`` events without replacement from each group's counts (``depth`` has the group keys).
 
-    Unit events are drawn by a hash order.  A coarse cut by hash prefix keeps the
-    ordered part small: only events of the one prefix that the total falls in are
-    ordered, all earlier prefixes are kept whole.
+    The events of a row have md5 draws; a group keeps its ``depth`` least ones, or all it has. Draws stay in an array
+    inside their row: only their number per prefix (4096 a group, summed before the shuffle) leaves it, which finds the prefix that the
+    total falls in, and then the events of that one prefix, which are ordered over many tasks. What moves besides is one number a row.
     """
-    unit = counts.filter(F.col(value) > 0).select(
-        *keys, item, F.explode(F.sequence(F.lit(1).cast("long"), F.col(value).cast("long"))).alias("_event")
-    ).withColumn("_u", uniform(seed, *keys, item, "_event")).withColumn("_prefix", F.floor(F.col("_u") * 4096))
-    # a prefix holds one event in 4096 of a group: that is what one task orders
-    per = unit.groupBy(*keys, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
+    parts = 4096
+    draws = F.transform(F.sequence(F.lit(1).cast("long"), F.col(value).cast("long")), lambda e: F.struct(uniform(seed, *keys, item, e).alias("_u"), e.alias("_event")))
+    rows = counts.filter(F.col(value) > 0).select(*keys, item, draws.alias("_draws"))
+
+    def prefix(draw: Column) -> Column:
+        return F.floor(draw["_u"] * parts)
+
+    per = rows.select(*keys, F.explode(F.transform("_draws", prefix)).alias("_prefix")).groupBy(*keys, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
     run = W.partitionBy(*keys).orderBy("_prefix").rowsBetween(W.unboundedPreceding, 0)  # at most 4096 rows
-    cut = per.withColumn("_upto", F.sum("_n").over(run)).join(depth.select(*keys, "depth"), keys).select(
-        *keys, "_prefix", (F.col("_upto") <= F.col("depth")).alias("_whole"), (F.col("depth") - F.col("_upto") + F.col("_n")).alias("_left")
-    ).filter("_left > 0")
-    joined = unit.join(cut, [*keys, "_prefix"])
-    within = W.partitionBy(*keys, "_prefix").orderBy("_u", item, "_event")
-    some = joined.filter("not _whole").withColumn("_r", F.row_number().over(within)).filter("_r <= _left").drop("_r")
-    return joined.filter("_whole").unionByName(some).groupBy(*keys, item).agg(F.count(F.lit(1)).alias(value))
+    upto = per.withColumn("_upto", F.sum("_n").over(run)).join(depth.select(*keys, "depth"), keys)
+    cut = upto.groupBy(*keys).agg(
+        F.coalesce(F.min(F.when(F.col("_upto") > F.col("depth"), F.col("_prefix"))), F.lit(parts)).alias("_cut"),
+        (F.first("depth") - F.coalesce(F.max(F.when(F.col("_upto") <= F.col("depth"), F.col("_upto"))), F.lit(0))).alias("_left"))
+    cut = checkpointed(cut)  # one row a group, read by both joins
+    met = rows.join(cut, keys)
+    whole = met.select(*keys, item, F.size(F.filter("_draws", lambda d: prefix(d) < F.col("_cut"))).cast("long").alias(value)).filter(F.col(value) > 0)
+    edge = met.filter("_left > 0").select(*keys, item, "_left", F.inline(F.filter("_draws", lambda d: prefix(d) == F.col("_cut"))))
+    some = numbered(edge, keys, [("_u", False), (item, False), ("_event", False)], "_r").filter("_r <= _left").select(*keys, item, F.lit(1).cast("long").alias(value))
+    return whole.unionByName(some).groupBy(*keys, item).agg(F.sum(value).alias(value))

@@ -1,6 +1,8 @@
 """Special functions, count-model fits, motif scans, halves, thinning and control draws."""
 
+import hashlib
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -183,6 +185,13 @@ def test_thinning_is_exact(spark):
     assert got.groupby("g")["n"].sum().to_dict() == {"hot": 5000, "small": 10}
     merged = got.merge(df.toPandas(), on=["g", "pair_id"], suffixes=("", "_full"))
     assert (merged["n"] <= merged["n_full"]).all()
+    # the least draws of all events, whatever the partitions; a depth beyond the total keeps everything, one of zero nothing
+    events = sorted((int(hashlib.md5(f"3|hot|{i}|{e}".encode()).hexdigest()[:13], 16), i) for g, i, n in rows if g == "hot" for e in range(1, n + 1))
+    assert got[got["g"] == "hot"].set_index("pair_id")["n"].to_dict() == Counter(i for _, i in events[:5000])
+    single = evidence.thin_counts(df.coalesce(1), ["g"], "pair_id", "n", depth, 3).toPandas()
+    assert set(map(tuple, single.to_numpy())) == set(map(tuple, got.to_numpy()))
+    ends = spark.createDataFrame([("hot", 0), ("small", 99)], "g string, depth long")
+    assert {(r.g, r.n) for r in evidence.thin_counts(df, ["g"], "pair_id", "n", ends, 3).collect()} == {("small", 2)}
 
 
 def test_cap_is_exact_and_seeded(spark):
