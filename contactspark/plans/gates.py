@@ -6,6 +6,7 @@ Metric tables are short (outputs times bands), so everything here is a small agg
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -187,6 +188,44 @@ def prepared_checks(pairs: DataFrame, tiles: DataFrame, counts: DataFrame, *, bi
     return out
 
 
+def conservation_checks(
+    pairs: DataFrame, tiles: DataFrame, sums: DataFrame, records: DataFrame, offsets: DataFrame, weights: DataFrame, *,
+    splits: int, bin_size: int, low: int, high: int, bins: int = 100, overlaps: int = 6,
+) -> DataFrame:
+    """Checks across the stages of a prepared set: ids, anchors and tiles of one split, records against sums, halves, curve, feature weights.
+
+    ``sums`` holds ``context_index, pair_id, full_count, a_by_split``; ``records`` one row per record (or ``n`` of them) with its
+    ``context_index``; ``offsets`` one row per distance; ``weights`` the native shares of ``tile_row, bin``. An empty table fails its checks.
+    """
+    p = pairs.agg((F.max("distance_bp") == high - bin_size).alias("maximum_represented_distance"),
+                  ((F.min("pair_id") == 0) & (F.max("pair_id") == F.count(F.lit(1)) - 1)).alias("ids_contiguous"))
+    ids = pairs.groupBy("pair_id").agg(F.count(F.lit(1)).alias("_n")).agg((F.max("_n") == 1).alias("ids_unique"))
+    anchors = pairs.select("chrom", "split", F.explode(F.array("bin_i", "bin_j")).alias("bin")).groupBy("chrom", "bin").agg(
+        (F.min("split") == F.max("split")).alias("_one")).agg(F.bool_and("_one").alias("anchors_in_one_split"))
+    owners = pairs.join(tiles.select("tile_row", "split"), ["tile_row", "split"], "left_anti").agg((F.count(F.lit(1)) == 0).alias("tile_splits_kept"))
+    halves = sums.agg(F.bool_and(F.size("a_by_split") == splits).alias("every_split_counted"),
+                      F.bool_and(F.forall("a_by_split", lambda a: (a >= 0) & (a <= F.col("full_count")))).alias("all_halves_recombine"))
+    known = sums.join(pairs.select("pair_id"), "pair_id", "left_anti").agg((F.count(F.lit(1)) == 0).alias("sums_in_universe"))
+    each = F.sum("n") if "n" in records.columns else F.count(F.lit(1))
+    totals = records.groupBy("context_index").agg(each.alias("_r")).join(
+        sums.groupBy("context_index").agg(F.sum("full_count").alias("_s")), "context_index", "full_outer")  # one row per context
+    stream = totals.agg(F.bool_and(F.col("_r").eqNullSafe(F.col("_s"))).alias("records_conserved"))
+    before = F.lag("distance_offset").over(W.orderBy("distance_bin"))  # one row per distance
+    curve = offsets.select("distance_bin", (F.col("distance_offset") - before).alias("_rise")).agg(
+        F.bool_and(F.coalesce(F.col("_rise"), F.lit(0.0)) <= 1e-12).alias("curve_decreases"),
+        ((F.min("distance_bin") == low // bin_size) & (F.max("distance_bin") == high // bin_size - 1)
+         & (F.count(F.lit(1)) == (high - low) // bin_size)).alias("curve_covers_range"))
+    shares = weights.groupBy("tile_row", "bin").agg(F.count(F.lit(1)).alias("_n"), F.sum("weight").alias("_w"))
+    width = shares.groupBy("tile_row").agg(F.count(F.lit(1)).alias("_bins"), F.max("_n").alias("_n"), F.max(F.abs(F.col("_w") - 1)).alias("_off")).agg(
+        (F.max("_n") <= overlaps).alias("feature_overlap_width"), (F.max("_off") < 1e-9).alias("feature_weights_whole"),
+        F.bool_and(F.col("_bins") == bins).alias("feature_bins_per_tile"))
+    out = None
+    for table in (p, ids, anchors, owners, halves, known, stream, curve, width):
+        rows = check_rows(table, [], {n: F.col(n) for n in table.columns})
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def tile_contract(tiles: DataFrame, contexts: DataFrame, membership: DataFrame, splits=("train", "validation", "test")) -> DataFrame:
     """Tables agree: unique tiles of one span in known splits, contexts numbered from 0, every cell in a known context."""
     t = tiles.agg((F.count_distinct("tile_id") == F.count(F.lit(1))).alias("unique_tile_ids"),

@@ -233,3 +233,31 @@ def test_adaptive_smooth_against_plain_python(spark):
         assert got[t, i, j][0] == level and abs(got[t, i, j][1] - value) < 1e-9
     plan = maps.adaptive_smooth(df, side)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_conservation_checks_find_every_fault(spark):
+    """A whole set passes; a broken one fails just the checks that its fault concerns."""
+    kinds = {
+        "pairs": "pair_id long, chrom string, bin_i long, bin_j long, distance_bp long, tile_row int, split string", "tiles": "tile_row int, split string",
+        "sums": "context_index int, pair_id long, full_count long, a_by_split array<long>", "records": "context_index int, n long",
+        "offsets": "distance_bin long, distance_offset double", "weights": "tile_row int, bin int, native int, weight double"}
+    good = {
+        "pairs": [(0, "c", 0, 20, 20, 0, "train"), (1, "c", 0, 30, 30, 0, "train"), (2, "d", 0, 20, 20, 1, "test")], "tiles": [(0, "train"), (1, "test")],
+        "sums": [(0, 0, 3, [1, 3]), (1, 2, 2, [0, 1])], "records": [(0, 3), (1, 1), (1, 1)],
+        "offsets": [(2, -1.0), (3, -1.5)], "weights": [(t, b, n, 0.5) for t in (0, 1) for b in (0, 1) for n in (0, 1)]}
+
+    def failed(**broken):
+        made = {k: spark.createDataFrame(broken.get(k, rows), kinds[k]) for k, rows in good.items()}
+        checks = gates.conservation_checks(**made, splits=2, bin_size=10, low=20, high=40, bins=2, overlaps=2).collect()
+        assert len(checks) == 14
+        return {r.check for r in checks if not r.passed}
+
+    pairs, sums, weights = good["pairs"], good["sums"], good["weights"]
+    assert failed() == set()
+    assert failed(pairs=[*pairs, (2, "d", 50, 90, 40, 1, "test")], sums=[*sums, (1, 9, 0, [0])], offsets=[(2, -1.0), (3, -0.5)], weights=weights[1:]) == {
+        "maximum_represented_distance", "ids_contiguous", "ids_unique", "sums_in_universe", "every_split_counted", "curve_decreases", "feature_weights_whole"}
+    assert failed(pairs=[*pairs[:2], (2, "c", 0, 30, 30, 1, "test")], sums=[(0, 0, 3, [1, 4]), (1, 2, 2, [0, 1])], records=[(0, 3), (1, 1)],
+                  offsets=[(2, -1.0)], weights=[*weights, (0, 1, 2, 0.0)]) == {
+        "anchors_in_one_split", "all_halves_recombine", "records_conserved", "curve_covers_range", "feature_overlap_width"}
+    assert failed(tiles=[(0, "train"), (1, "train")], records=[(0, 3), (1, 2), (2, 1)], weights=[r for r in weights if r[:2] != (1, 1)]) == {
+        "tile_splits_kept", "records_conserved", "feature_bins_per_tile"}

@@ -137,11 +137,14 @@ def overlap_mean(t):
     return I.overlap_mean(t.bedgraph, BIN_SIZE, CHROMS)
 
 
-@query("area_overlap_weights", """
+STEPS["area_weights"] = """
 with t as (select tile_row, input_start, (input_start + 29288) - (input_start + 29288) % 10000 as ts from {source_tiles}),
 b as (select tile_row, b as bin, ts + b * 10000 - input_start as s from t, range(0, 100) x(b))
 select tile_row, bin, n as native, (least(s + 10000, (n + 1) * 2048) - greatest(s, n * 2048)) / 10000 as weight
-from b, lateral (select unnest(range(cast(floor(s / 2048) as bigint), cast(floor((s + 9999) / 2048) as bigint) + 1)) as n)""")
+from b, lateral (select unnest(range(cast(floor(s / 2048) as bigint), cast(floor((s + 9999) / 2048) as bigint) + 1)) as n)"""
+
+
+@query("area_overlap_weights", "select * from {area_weights}")
 def area_overlap_weights(t):
     from contactspark.operators.universe import align_tiles
 

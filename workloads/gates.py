@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from contactspark.functions import scalars as S
@@ -9,16 +11,24 @@ from contactspark.functions.special import nb2_logpmf
 from contactspark.operators import contexts as X
 from contactspark.operators import evidence as E
 from contactspark.operators import fit as Fit
+from contactspark.operators import intervals as I
 from contactspark.operators import metrics as M
 from contactspark.operators import power as P
 from contactspark.operators import rates as R
 from contactspark.operators import resampling as B
 from contactspark.operators import topk as K
-from contactspark.operators.ordered import checkpointed
+from contactspark.operators.contacts import canonical_anchors
+from contactspark.operators.ordered import checkpointed, use_checkpoints
+from contactspark.operators.universe import align_tiles
 from contactspark.plans import gates as G
+from contactspark.settings import BANDS as DISTANCE_BANDS
+from contactspark.settings import Geometry, check_calibration
+from contactspark.settings import distance_range as distance_bounds
+from contactspark.sources.tables import write_metrics
 from workloads.base import BIN_SIZE, CONTEXTS, OUTPUTS, REPLICATES, SPLITS, STEPS, query
 from workloads.counting import power_rows
-from workloads.modelling import band_fit, baseline, centered
+from workloads.discovery import band_levels
+from workloads.modelling import band_fit, baseline, centered, curve
 from workloads.ranking import DRAW, GROUP
 
 BANDS = ["250-500", "500-1000"]
@@ -47,6 +57,64 @@ def prepared_checks(t):
     return G.prepared_checks(t.scored, t.tiles, t.counts, bin_size=BIN_SIZE, low=250_000, high=1_000_000)
 
 
+@query("conservation_checks", f"""
+with n as (select tile_row, b, count(*) as n, sum(weight) as w from (select tile_row, bin as b, weight from {{area_weights}}) group by all)
+select unnest(['maximum_represented_distance', 'ids_contiguous', 'ids_unique', 'anchors_in_one_split', 'tile_splits_kept', 'every_split_counted', 'all_halves_recombine', 'sums_in_universe',
+ 'records_conserved', 'curve_decreases', 'curve_covers_range', 'feature_overlap_width', 'feature_weights_whole', 'feature_bins_per_tile']) as "check", unnest([
+ (select max(distance_bp) = 990000 from {{universe}}), (select min(pair_id) = 0 and max(pair_id) + 1 = count(*) from {{universe}}), (select count(distinct pair_id) = count(*) from {{universe}}),
+ (select count(*) = 0 from (select chrom, b from (select chrom, bin_i as b, split from {{universe}} union select chrom, bin_j, split from {{universe}}) group by 1, 2 having count(*) > 1)),
+ (select bool_and(u.split = t.split) from {{universe}} u join {{tiles}} t using (tile_row)),
+ (select count(*) = {SPLITS} * (select count(*) from {{counts}}) from {{split_counts}}),
+ (select bool_and(s.counts_a >= 0 and s.counts_b >= 0 and s.counts_a + s.counts_b = c.full_count) from {{split_counts}} s join {{counts}} c using (context_index, pair_id)),
+ (select count(*) = 0 from {{counts}} where pair_id not in (select pair_id from {{universe}})),
+ (select bool_and(r = s) from (select context_index, count(*) as r from {{records}} group by 1) full join (select context_index, sum(full_count) as s from {{counts}} group by 1) using (context_index)),
+ (select bool_and(rise <= 1e-12) from (select coalesce(distance_offset - lag(distance_offset) over (order by distance_bin), 0) as rise from {{offsets}})),
+ (select min(distance_bin) = 25 and max(distance_bin) = 99 and count(*) = 75 from {{offsets}}),
+ (select max(n) <= 6 from n), (select max(abs(w - 1)) < 1e-9 from n), (select min(k) = 100 and max(k) = 100 from (select count(*) as k from n group by tile_row))]) as passed""")
+def conservation_checks(t):
+    weights = I.area_overlap_weights(align_tiles(t.source_tiles, BIN_SIZE), 2048, 512, BIN_SIZE, 100)
+    return G.conservation_checks(
+        t.universe, t.tiles, t.sums, t.records, R.isotonic_offset(curve(t)), weights, splits=SPLITS, bin_size=BIN_SIZE, low=250_000, high=1_000_000)
+
+
+@query("distance_range", """
+select cast(distance_bp / 10000 as bigint) as distance_bin, count(*) as contacts from (select abs(bin_j - bin_i) as distance_bp from {anchored} where chrom1 = chrom2)
+where distance_bp between 250000 and 990000 group by 1""")
+def distance_range(t):
+    """Contacts of the range that ends one bin past its largest distance."""
+    low, end = distance_bounds(250_000, BIN_SIZE, maximum=990_000)
+    rows = canonical_anchors(t.raw_contacts, BIN_SIZE).filter(F.col("chrom1") == F.col("chrom2")).filter((F.col("distance_bp") >= low) & (F.col("distance_bp") < end))
+    return rows.groupBy(S.fdiv("distance_bp", BIN_SIZE).alias("distance_bin")).agg(F.count(F.lit(1)).alias("contacts"))
+
+
+@query("calibration_contract", """
+select distance_band, alpha, 0.25e0 as dispersion, case when distance_band = '250-500' then 250000 else 500000 end as low, case when distance_band = '250-500' then 500000 else 1000000 end as high from {band_levels}""")
+def calibration_contract(t):
+    """Calibration rows of the configured bands; a row that is missing or a dispersion that is not positive is an error before any job."""
+    edges = F.create_map(*[x for b in DISTANCE_BANDS for x in (F.lit(b.id), F.struct(F.lit(b.low).alias("low"), F.lit(b.high).alias("high")))])
+    rows = checkpointed(band_levels(t).withColumn("_e", edges[F.col("distance_band")]).select("distance_band", "alpha", "dispersion", "_e.low", "_e.high"))
+    check_calibration([(r.distance_band, r.low, r.high, r.alpha, r.dispersion) for r in rows.collect()], Geometry())  # one row per band
+    return rows
+
+
+@query("written_metrics", """
+select format, distance_band, count(*) as pairs, sum(full_count) as events, case when count(*) filter (split = 'purged') > 0 then 0e0 end as ratio
+from {scored}, (values ('csv'), ('json'), ('parquet')) f(format) group by 1, 2""")
+def written_metrics(t):
+    """A metric table with a ratio that is not finite, written in each format and read back: it comes back as null."""
+    use_checkpoints(t.spark)
+    root = f"{t.spark.sparkContext.getCheckpointDir()}/metrics-{uuid.uuid4().hex}"
+    table = checkpointed(t.scored.groupBy("distance_band").agg(
+        F.count(F.lit(1)).alias("pairs"), F.sum("full_count").alias("events"),
+        (F.count_if(F.col("split") == "purged") * F.lit(float("inf"))).alias("ratio")))
+    out = None
+    for form in ("csv", "json", "parquet"):
+        write_metrics(table, f"{root}/{form}", form)
+        read = t.spark.read.schema(table.schema).option("header", True).format(form).load(f"{root}/{form}").withColumn("format", F.lit(form))
+        out = read if out is None else out.unionByName(read)
+    return out
+
+
 STEPS["power_bootstrap"] = """
 with c as (select output_id, distance_band, chrom, cast(sum(k * overlap_excess) as double) as x, cast(sum(k) as double) as y from {power} where evaluable and top_fraction = cast(0.01 as double) group by 1, 2, 3),
 o as (select *, row_number() over (partition by output_id, distance_band order by chrom) - 1 as i, count(*) over (partition by output_id, distance_band) as n from c),
