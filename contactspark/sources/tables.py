@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from contactspark.functions.scalars import finite
@@ -46,9 +46,23 @@ def write_table(df: DataFrame, path: str, partitions: tuple[str, ...] = (), mode
     (out.partitionBy(*partitions) if partitions else out).parquet(path)
 
 
-def write_routed(members: DataFrame, path: str, by: str = "cell_type") -> None:
-    """One folder per cell type, each record once; Spark splits a large folder into as many files as its size asks for."""
-    members.hint("rebalance", F.col(by)).write.mode("overwrite").option("compression", "zstd").partitionBy(by).parquet(path)
+def write_routed(members: DataFrame, path: str, by: str = "cell_type", declared: dict[str, int] | None = None) -> None:
+    """One folder per cell type, each record once; Spark splits a large folder into as many files as its size asks for.
+
+    With ``declared`` totals per cell type (a short list), the writing job counts its own rows; another total, or a record of an
+    undeclared or absent type, is an error after the write. The counts are taken behind the last shuffle, where a task that runs again counts once.
+    """
+    rows = members.hint("rebalance", F.col(by))
+    seen = Observation()
+    if declared is not None:
+        counts = [F.count_if(F.col(by) == name).alias(f"n{i}") for i, name in enumerate(declared)]
+        rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"), *counts)
+    rows.write.mode("overwrite").option("compression", "zstd").partitionBy(by).parquet(path)
+    if declared is not None:
+        found = seen.get
+        wrong = {name: found[f"n{i}"] for i, name in enumerate(declared) if found[f"n{i}"] != declared[name]}
+        if wrong or found["rows"] != sum(declared.values()):
+            raise ValueError(f"{found['rows']} records written, {sum(declared.values())} declared; totals that differ: {wrong}")
 
 
 def read_routed(spark: SparkSession, path: str, output: str = "all_cells", by: str = "cell_type") -> DataFrame:

@@ -261,3 +261,15 @@ def test_conservation_checks_find_every_fault(spark):
         "anchors_in_one_split", "all_halves_recombine", "records_conserved", "curve_covers_range", "feature_overlap_width"}
     assert failed(tiles=[(0, "train"), (1, "train")], records=[(0, 3), (1, 2), (2, 1)], weights=[r for r in weights if r[:2] != (1, 1)]) == {
         "tile_splits_kept", "records_conserved", "feature_bins_per_tile"}
+
+
+def test_routing_counts_what_it_writes(spark, tmp_path):
+    rows = [("a", i) for i in range(50)] + [("b", i) for i in range(3)]
+    df = spark.createDataFrame(rows, "cell_type string, v long").repartition(5)
+    tables.write_routed(df, str(tmp_path / "whole"), declared={"a": 50, "b": 3})
+    assert tables.read_routed(spark, str(tmp_path / "whole"), "a").count() == 50
+    assert tables.read_routed(spark, str(tmp_path / "whole")).count() == 53
+    with pytest.raises(ValueError, match="'b': 2"):
+        tables.write_routed(df.filter("not (cell_type = 'b' and v = 1)"), str(tmp_path / "lost"), declared={"a": 50, "b": 3})
+    with pytest.raises(ValueError, match="54 records"):
+        tables.write_routed(df.union(spark.createDataFrame([(None, 1)], df.schema)), str(tmp_path / "untyped"), declared={"a": 50, "b": 3})

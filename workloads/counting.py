@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from contactspark.functions import scalars as S
@@ -9,7 +11,9 @@ from contactspark.operators import contacts as C
 from contactspark.operators import evidence as E
 from contactspark.operators import power as P
 from contactspark.operators import universe as U
+from contactspark.operators.ordered import use_checkpoints
 from contactspark.settings import BIN_SIZE, Geometry
+from contactspark.sources.tables import read_routed, write_routed
 from workloads.base import CONTEXTS, OUTPUTS, SPLITS, STEPS, query
 
 CHROMS = [f"chr{n}" for n in range(1, 10)]  # chr10 plays the unknown chromosome
@@ -116,6 +120,24 @@ def route_contacts(t):
     return C.route_contacts(t.raw_contacts, t.membership).groupBy("output_id", "library_id", "chrom1").agg(F.count(F.lit(1)).alias("contacts"))
 
 
+@query("routed_tables", """
+select cell_type as output_id, chrom1, count(*) as contacts, cast(sum(pos1) as bigint) as positions from {raw_contacts} join {membership} using (library_id, dna_barcode) group by all
+union all select 'all_cells', chrom1, count(*), cast(sum(pos1) as bigint) from {raw_contacts} join {membership} using (library_id, dna_barcode) group by all""")
+def routed_tables(t):
+    """Member records written once by cell type against the declared totals, and every output read back."""
+    use_checkpoints(t.spark)
+    folder = f"{t.spark.sparkContext.getCheckpointDir()}/routed-{uuid.uuid4().hex}"
+    members = t.raw_contacts.join(t.membership.select(*C.CELL, "cell_type"), C.CELL)
+    declared = {r.cell_type: r.valid_pairs for r in t.contexts.select("cell_type", "valid_pairs").collect()}  # one row per context
+    write_routed(members, folder, declared=declared)
+    out = None
+    for name in [*declared, "all_cells"]:
+        rows = read_routed(t.spark, folder, name).groupBy("chrom1").agg(F.count(F.lit(1)).alias("contacts"), F.sum("pos1").alias("positions")).select(
+            F.lit(name).alias("output_id"), "*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("routed_totals", """
 with r as (select cell_type as output_id, count(*) as routed from {raw_contacts} join {membership} using (library_id, dna_barcode) group by 1),
 a as (select output_id, routed, valid_pairs as declared from r join {contexts} on output_id = cell_type)
