@@ -4,6 +4,7 @@ import pytest
 
 from contactspark.operators.ordered import measured_broadcasts
 from workloads import QUERIES
+from workloads.base import Inputs
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -37,3 +38,10 @@ def test_pair_tables_are_not_broadcast_by_estimate(planned, name):
     assert "Join" in text
     # single rows are broadcast by name (coverage_report); no keyed join is
     assert "BroadcastHashJoin" not in text
+
+
+def test_records_are_summed_to_cells_once(spark):
+    """Tables made from the cell table read it stored, without the join of records behind it."""
+    t = Inputs(spark, FOLDER)
+    assert "Join" not in plan(t.membership) and "Join" not in plan(t.contexts)
+    assert t.membership.count() == t.membership.select("library_id", "dna_barcode").distinct().count() > 0
