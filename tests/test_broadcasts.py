@@ -1,6 +1,7 @@
 """No side of a join passes through the driver on an estimate from the plan."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from contactspark.operators.ordered import measured_broadcasts
 from workloads import QUERIES
@@ -45,3 +46,25 @@ def test_records_are_summed_to_cells_once(spark):
     t = Inputs(spark, FOLDER)
     assert "Join" not in plan(t.membership) and "Join" not in plan(t.contexts)
     assert t.membership.count() == t.membership.select("library_id", "dna_barcode").distinct().count() > 0
+
+
+def test_range_filters_stay_small_at_the_scan(spark):
+    """A distance filter that reaches the record scan carries each adapter column a few times, not once per use of every use."""
+    from contactspark.operators.evidence import cell_masks, pair_sums
+    from contactspark.sources.text import parse_bedpe
+    from workloads.discovery import raw_calls
+
+    t = Inputs(spark, FOLDER)
+    sums = pair_sums(t.raw_contacts, cell_masks(t.membership, t.assignments, 20), t.universe, 20, bin_size=10_000, low=250_000, high=1_000_000)
+    for df in (sums, parse_bedpe(raw_calls(t)).join(t.universe, ["chrom", "bin_i", "bin_j"])):
+        text = df._jdf.queryExecution().optimizedPlan().toString()
+        filters = [line for line in text.splitlines() if "+- Filter" in line and ("l_linenumber" in line or "l_quantity" in line)]
+        assert [line.count("l_linenumber") < 30 for line in filters] == [True]
+    # halves of every split, unpacked, against one sum per split
+    a = t.assignments.filter("half = 'A'").join(t.raw_contacts.join(t.universe.select("chrom", "bin_i", "bin_j", "pair_id"), [
+        F.col("chrom") == F.col("chrom1"), F.col("chrom") == F.col("chrom2"),
+        F.least("pos1", "pos2") - F.least("pos1", "pos2") % 10_000 == F.col("bin_i"),
+        F.greatest("pos1", "pos2") - F.greatest("pos1", "pos2") % 10_000 == F.col("bin_j")]), ["library_id", "dna_barcode"])
+    want = {(r[0], r[1], r[2]): r[3] for r in a.groupBy("context_index", "pair_id", "split").count().collect()}
+    got = {(r.context_index, r.pair_id, s): n for r in sums.collect() for s, n in enumerate(r.a_by_split) if n}
+    assert got == want and want
