@@ -5,7 +5,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from contactspark.operators import maps, resampling, sampling
+from contactspark.operators import catalog, maps, metrics, resampling, sampling
 from contactspark.plans import extension, recovery
 
 SCHEMA = "g string, chrom string, score double, label int"
@@ -162,3 +162,38 @@ def test_balanced_marginals_without_a_diagonal(spark):
     kept = [sums[k] for k, w in near.items() if w is not None]
     assert len(kept) > 60 and np.allclose(kept, 1, atol=1e-3)
     assert maps.ice_balance(pixels.limit(0)).count() == 0
+
+
+def test_identity_reads_directions_once(spark):
+    directed = spark.range(4000).select(
+        (F.col("id") % 3).cast("string").alias("distance_band"), (F.pmod(F.xxhash64("id"), F.lit(41)) / 10 - 2).alias("delta"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)) < 2).alias("label"))
+    directed = directed.unionByName(spark.createDataFrame([("one class", 0.5, True), ("one class", -0.5, True)], directed.schema))
+    got = recovery.identity_table(directed, ["distance_band"])
+    assert "Range" not in got._jdf.queryExecution().optimizedPlan().toString()
+    plain = metrics.classification(directed.withColumn("l", F.col("label").cast("int")), ["distance_band"], "delta", "l").join(
+        metrics.direction_accuracy(directed, ["distance_band"], "delta", "label"), "distance_band")
+    want = {r.distance_band: r.asDict() for r in plain.collect()}
+    assert len(want) == 4 and want["one class"]["balanced_direction_accuracy"] is None
+    for r in got.collect():
+        assert r.asDict() == {k: v if v is None or isinstance(v, str) else pytest.approx(v) for k, v in want[r.distance_band].items()}
+
+
+def test_shifted_loops_are_dealt_once(spark):
+    pairs = spark.createDataFrame([("c", i * 10, j * 10, i * 100 + j) for i in range(6) for j in range(i + 1, 9)], "chrom string, bin_i long, bin_j long, pair_id long")
+    loops = spark.createDataFrame([("f", "c", 20, 50, 0.5), ("f", "c", 30, 50, 1.0), ("g", "c", 0, 80, 0.25)], "family string, chrom string, bin_i long, bin_j long, member_fraction double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = catalog.support_to_pairs(pairs, loops, 1, 10)
+        exchanges = df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        got = {(r.family, r.pair_id): r.support for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert exchanges == 2  # pairs and shifted loops
+    want = {}
+    for f, i, j, v in (("f", 2, 5, 0.5), ("f", 3, 5, 1.0), ("g", 0, 8, 0.25)):
+        for a in range(max(0, i - 1), i + 2):
+            for b in range(j - 1, j + 2):
+                if a < 6 and a < b < 9:
+                    want[f, a * 100 + b] = max(v, want.get((f, a * 100 + b), 0))
+    assert got == want
