@@ -48,7 +48,11 @@ def fingerprint(text: bytes) -> int:
         return 0
     digest = xxhash.xxh64_intdigest
     shingles = map(b" ".join, zip(*[words[i:] for i in range(SHINGLE)])) if len(words) >= SHINGLE else [b" ".join(words)]
-    hashes = np.fromiter((digest(s, SEED) for s in shingles), dtype="<u8")
+    return majority(np.fromiter((digest(s, SEED) for s in shingles), dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Fingerprint of the hashes of a text's shingles: a bit is set if over half of them have it; 0 without any."""
     total = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at:at + 65536]
