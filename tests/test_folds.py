@@ -20,6 +20,22 @@ def rows(spark):
 
 
 
+def test_calibration_slope_does_not_join_rows_by_group(spark, rows):
+    measured_broadcasts(spark)
+    got = metrics.calibration_slope(rows, ["g"], "y", "m")
+    text = got._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in text and "SortMergeJoin [g" not in text
+    data = rows.toPandas()
+    for r in got.collect():
+        d = data[data.g == r.g]
+        edges = np.unique(np.quantile(d.m, np.linspace(0, 1, 11)))
+        at = np.searchsorted(edges[1:], d.m, side="left")
+        means = d.groupby(at)[["m", "y"]].mean()
+        eps = means.m.min()
+        slope = np.polyfit(np.log(means.m + eps), np.log(means.y + eps), 1)[0]
+        assert abs(slope - r.calibration_slope) < 1e-9
+
+
 def test_pair_ids_come_from_left_bins(spark):
     near = [(c, i * 10, i * 10 + d * 10, c) for c in ("chr1", "chr2") for i in range(40) for d in range(25, 100) if (i + d) % 7]
     pairs = spark.createDataFrame([(f"{c}", i, j, n) for n, (c, i, j, _) in enumerate(sorted(near))], "chrom string, bin_i long, bin_j long, pair_id long")
