@@ -36,6 +36,23 @@ def test_calibration_slope_does_not_join_rows_by_group(spark, rows):
         assert abs(slope - r.calibration_slope) < 1e-9
 
 
+def test_metric_bundle_reads_its_rows_twice(spark, rows):
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    counted = rows.mapInArrow(seen, rows.schema)
+    out = {r.g: r for r in metrics.metric_bundle(counted, ["g"], "m", "y", "hit", 100, 20).collect()}
+    assert reads.value == 2 * rows.count()
+    data = rows.toPandas()
+    for g, d in data.groupby("g"):
+        assert abs(d.m.rank().corr(d.y.rank()) - out[g].spearman) < 1e-9
+        assert out[g].support_count == d.hit.sum() and out[g].candidate_count == len(d)
+
+
 def test_pair_ids_come_from_left_bins(spark):
     near = [(c, i * 10, i * 10 + d * 10, c) for c in ("chr1", "chr2") for i in range(40) for d in range(25, 100) if (i + d) % 7]
     pairs = spark.createDataFrame([(f"{c}", i, j, n) for n, (c, i, j, _) in enumerate(sorted(near))], "chrom string, bin_i long, bin_j long, pair_id long")
