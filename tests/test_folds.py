@@ -72,3 +72,40 @@ def test_universe_is_not_shuffled_by_the_sums(spark):
     sums = evidence.pair_sums(t.raw_contacts, evidence.cell_masks(t.membership, t.assignments, 20), t.universe, 20, bin_size=10_000, low=250_000, high=1_000_000)
     text = sums._jdf.queryExecution().optimizedPlan().toString()
     assert "bit_or" in text and not re.search(r"bin_j#\d+L? = bin_j#", text)
+
+
+class Caught(Exception):
+    pass
+
+
+def by_band(df) -> list[str]:
+    """Joins of the plan that deal rows by output and band."""
+    text = df._jdf.queryExecution().sparkPlan().toString()
+    return re.findall(r"(?:SortMerge|ShuffledHash)Join \[(?:output_id#\d+, )?distance_band#\d+\]", text)
+
+
+def test_fits_and_gates_do_not_deal_rows_by_band(spark, monkeypatch):
+    """Two bands would be two tasks, whatever the size of the pair table."""
+    from workloads import gates, modelling
+    from workloads.base import Inputs
+
+    measured_broadcasts(spark)
+    seen = []
+    bands = spark.createDataFrame([(b, "shared", 0.1, 0.5) for b in ("250-500", "500-1000")], "distance_band string, output_id string, alpha double, dispersion double")
+
+    def fit(df, groups, *args, **kwargs):
+        seen.append(df)
+        return bands.select(*groups, "alpha", "dispersion")
+
+    def ratio(df, *args):
+        seen.append(df)
+        raise Caught
+
+    monkeypatch.setattr(modelling.Fit, "fit_nb2", fit)
+    monkeypatch.setattr(gates.Fit, "calibration_ratio", ratio)
+    t = Inputs(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(modelling, "band_fit", lambda t: bands.drop("output_id"))
+    modelling.fit_nb2_fixed(t)
+    with pytest.raises(Caught):
+        gates.calibration_metrics(t, bands, bands, ["shared"])
+    assert len(seen) == 2 and [by_band(df) for df in seen] == [[], []]
