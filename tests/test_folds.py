@@ -109,3 +109,10 @@ def test_fits_and_gates_do_not_deal_rows_by_band(spark, monkeypatch):
     with pytest.raises(Caught):
         gates.calibration_metrics(t, bands, bands, ["shared"])
     assert len(seen) == 2 and [by_band(df) for df in seen] == [[], []]
+
+
+def test_exports_do_not_deal_rows_by_band(spark):
+    from workloads import QUERIES
+
+    for name in ("export_rates", "predict_sparse"):
+        assert by_band(QUERIES[name](spark, "/root/testdata/sf0.001")) == []
