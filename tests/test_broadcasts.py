@@ -41,6 +41,13 @@ def test_pair_tables_are_not_broadcast_by_estimate(planned, name):
     assert "BroadcastHashJoin" not in text
 
 
+def test_tables_built_outside_a_query_are_not_broadcast_by_estimate(planned):
+    """As bench.py does: the pair table is asked for before any query has run."""
+    t = Inputs(planned, FOLDER)
+    assert planned.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1"
+    assert "BroadcastHashJoin" not in plan(t.raw_contacts) and "Join" in plan(t.raw_contacts)
+
+
 def test_records_are_summed_to_cells_once(spark):
     """Tables made from the cell table read it stored, without the join of records behind it."""
     t = Inputs(spark, FOLDER)
