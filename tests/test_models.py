@@ -264,6 +264,32 @@ def test_rank_controls_do_not_multiply_pairs_by_contexts(spark, small_pairs):
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_error_function_on_both_sides_of_its_grid():
+    x = np.concatenate([np.linspace(-7, 7, 20_001), [0.0, 6.0, -6.0, 1e-300, 40.0]])
+    assert np.abs(scoring._erf(x) - [math.erf(v) for v in x]).max() < 1e-12
+
+
+def test_scoring_takes_lists_without_an_object_per_row(spark):
+    from workloads.discovery import network
+
+    rows = [(i, [float(i % 7 + k) for k in range(9)], [0.5, float(i), 1.0]) for i in range(300)]
+    df = spark.createDataFrame(rows, "pair_id long, inputs array<double>, technical_inputs array<double>").repartition(3)
+    scored = scoring.score_pairs(df, network(9, 3), ["pair_id"])
+    assert "MapInArrow" in scored._jdf.queryExecution().optimizedPlan().toString()
+    w = network(9, 3)
+    for r in scored.collect():
+        x = np.array(rows[r.pair_id][1])
+        for name in ("layer1", "layer2"):
+            z = w[name]["w"] @ x + w[name]["b"]
+            x = 0.5 * z * (1 + np.array([math.erf(v / math.sqrt(2)) for v in z]))
+        assert r.residual_score == pytest.approx(w["score"]["w"][0] @ x + w["score"]["b"][0], abs=1e-9)
+        assert r.technical_offset == pytest.approx(w["technical"]["w"][0] @ np.array(rows[r.pair_id][2]))
+    for bad in ([1.0] * 8, [1.0] * 8 + [None], [1.0] * 8 + [float("nan")], None):
+        uneven = df.unionByName(spark.createDataFrame([(300, bad, [0.5, 1.0, 1.0])], df.schema)).coalesce(1)
+        with pytest.raises(Exception, match="inputs must be"):
+            scoring.score_pairs(uneven, w, ["pair_id"]).collect()
+
+
 def test_resampled_controls_have_lower_support(spark, small_pairs):
     support = small_pairs.filter("pair_id % 2 = 0").select(F.lit(0).alias("context_index"), "pair_id", ((F.col("pair_id") % 5 + 1) / 5.0).alias("support_weight"))
     got = sampling.resample_rank_controls(support, small_pairs, support, 4, 1).toPandas()
