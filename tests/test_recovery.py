@@ -147,6 +147,35 @@ def test_extension_prefers_a_model_that_beats_its_controls(spark):
     assert np.isclose(one.point, gain / events)
 
 
+def test_balancing_beyond_a_broadcast_moves_no_pixel_a_round(spark):
+    """Weights are sent to blocks of bins; the pixels stay where they were dealt, in the order they were dealt in."""
+    draw = np.random.default_rng(3)
+    rows = [(c, 10 * i, 10 * j, float(draw.integers(1, 9))) for c in ("chr1", "chr2") for i in range(60) for j in range(i, min(60, i + 50), 3)]
+    ends = spark.createDataFrame([(c, b, o, n) for c, i, j, n in rows for b, o in ((i, j), (j, i))], "chrom string, bin long, other long, c double")
+    weights = {(c, 10 * i): float(draw.uniform(0, 2)) for c in ("chr1", "chr2") for i in range(60) if i % 7}
+    table = spark.createDataFrame([(*k, w) for k, w in weights.items()], "chrom string, bin long, b double")
+    want = {}
+    for c, i, j, n in rows:
+        for b, o in ((i, j), (j, i)):
+            want[c, b] = want.get((c, b), 0.0) + n * weights.get((c, o), 0.0)
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    for k in before:
+        spark.conf.set(k, "-1")
+    try:
+        for block_bp in (10, 130, 10_000):
+            sums = maps._block_sums(ends, int(spark.conf.get("spark.sql.shuffle.partitions")), block_bp)(table)
+            assert {(r.chrom, r.bin): r._m for r in sums.collect()} == pytest.approx(want)
+        text = sums._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    # the branch of the pixels reaches its join from the stored layout: no exchange and no sort above the scan that holds the counts
+    left = text[text.index("SortMergeJoin [chrom"):]
+    scan = next(line for line in left.splitlines() if "Scan ExistingRDD" in line and ",c#" in line)
+    above = left[:left.index(scan)]
+    assert "Exchange" not in above and "Sort [" not in above
+
+
 def test_balanced_marginals_without_a_diagonal(spark):
     """Contacts far from the diagonal, where full corrections would swing; the shuffled way gives the same weights."""
     draw = np.random.default_rng(1)
