@@ -6,6 +6,7 @@ from pathlib import Path
 
 import pytest
 from llm_rows import docs_of
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from contactspark.llm import near_copies
@@ -91,3 +92,19 @@ def test_close_fingerprints_are_candidates_without_any_key(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "bucket_candidates", lambda p: near_copies.print_candidates(p).limit(0))
     got = {r.doc_id for r in near_copies.keep_one(docs_of(spark, rows)).collect()}
     assert got == {0} | set(prints) - close
+
+
+def test_every_pair_of_a_large_bucket_is_compared(spark, monkeypatch):
+    """Forty couples share one bucket and nothing else: each couple is linked, wherever a hash puts its members."""
+    rows = []
+    for k in range(40):
+        a = text(200)
+        rows += [(2 * k, " ".join(a), "en", "a"), (2 * k + 1, " ".join(edited(a, 2)), "en", "a")]
+    docs = docs_of(spark, rows)
+    prints = near_copies.stored(near_copies.with_keys(docs).withColumn("keys", F.array(F.lit(7).cast("long"))).withColumn("fingerprint", F.xxhash64("node")))
+    node = {r.doc_id: r.node for r in prints.collect()}
+    want = {tuple(sorted((node[2 * k], node[2 * k + 1]))) for k in range(40)}
+    for size in (8, 32, 1000):
+        monkeypatch.setattr(near_copies, "CELL", size, raising=False)
+        got = [tuple(sorted((r.a, r.b))) for r in near_copies.links(docs, prints).collect()]
+        assert set(got) == want and len(got) == len(want)
