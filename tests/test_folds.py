@@ -116,3 +116,18 @@ def test_exports_do_not_deal_rows_by_band(spark):
 
     for name in ("export_rates", "predict_sparse"):
         assert by_band(QUERIES[name](spark, "/root/testdata/sf0.001")) == []
+
+
+def test_pairs_meet_their_counts_by_left_bin(spark):
+    """The scored pair table: no pair moves to meet its counts, and the rows are those of a join by pair."""
+    from workloads.base import Inputs
+
+    t = Inputs(spark, "/root/testdata/sf0.001")
+    text = t.scored._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"pair_id#\d+L? = pair_id#", text)
+    shared = t.counts.groupBy("pair_id").agg(*[F.sum(c).alias(c) for c in ("full_count", "counts_a", "counts_b")])
+    want = t.universe.join(shared, "pair_id", "left").fillna(0)
+    got = t.scored.select(*want.columns)
+    assert got.dtypes == want.dtypes and t.scored.columns[:len(want.columns)] == want.columns
+    assert got.filter("full_count > 0").count() == shared.count() > 0
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
