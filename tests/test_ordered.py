@@ -1,6 +1,7 @@
 """Ordered computations agree with pandas whatever the partitioning, with a hot group and heavy ties."""
 
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -115,3 +116,21 @@ def test_pack_groups_keeps_groups_whole(spark):
     sevens = spark.createDataFrame([(f"g{i}", 7 if i else 50) for i in range(40)], "key string, rows long")
     got = sampling.pack_groups(sevens, 20, 3, "key").toPandas()
     assert sorted(got.groupby("batch")["rows"].sum())[-1] == 50 and sorted(got.groupby("batch")["rows"].sum())[-2] <= 20
+
+
+def test_top_shares_order_only_the_slice_of_a_cutoff(spark, monkeypatch):
+    """Top shares as by sorting each group in Python; ties, nulls, an infinite score and a null group included."""
+    draw = random.Random(3)
+    rows = [(g, float(draw.randrange(5)) if g == "tied" else draw.gauss(0, 1), i, draw.randrange(4)) for i in range(9000) for g in [("a", "tied", None)[i % 3]]]
+    rows += [("a", None, 9001, 1), ("a", float("inf"), 9002, 2), ("one", 0.5, 9003, 3), ("none", None, 9004, 1)]
+    df = spark.createDataFrame(rows, "g string, s double, pair_id long, y int")
+    moved = []
+    monkeypatch.setattr(topk, "numbered", lambda df, *more: (moved.append(df.count()), ordered.numbered(df, *more))[1], raising=False)
+    got = {(r.g, r.fraction): r.asDict() for r in topk.reversed_topk_rows(df, ["g"], "s", [0.01, 0.05], ["y"]).collect()}
+    assert moved and moved[0] < 3000 * 0.03 + 2 * 3000 / 5 + 10
+    for g in ("a", "tied", None, "one", "none"):
+        mine = sorted((r for r in rows if r[0] == g), key=lambda r: (-math.inf if r[1] is None else r[1], r[1] is not None, r[2]), reverse=True)
+        for f in (0.01, 0.05):
+            k = max(1, math.ceil(len(mine) * f))
+            assert got[g, f] == {"g": g, "fraction": f, "k": k, "candidates": len(mine), "top_y": sum(r[3] for r in mine[:k]), "total_y": sum(r[3] for r in mine)}
+    assert len(got) == 10
