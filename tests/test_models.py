@@ -347,6 +347,34 @@ def test_bootstrap_edges(spark):
     assert got.loc["two", "lower"] == 1.0 and got.loc["two", "upper"] == 3.0
 
 
+def test_matched_negatives_over_blocks_of_ids(spark, monkeypatch):
+    """Tier and negative of every positive as by listing its pools in order of ids; no pool of all pairs is numbered."""
+    def refuse(*args, **kwargs):
+        raise AssertionError("pools are numbered")
+
+    monkeypatch.setattr(sampling, "group_pools", refuse)
+    draw = np.random.default_rng(9)
+    rows = [(int(i * 7919), f"chr{i % 2}", "b", int(250_000 + 10_000 * draw.integers(0, 12)), int(draw.integers(0, 5)), float(draw.integers(0, 30)), bool(draw.random() < 0.1), bool(draw.random() < 0.4)) for i in range(1500)]
+    pairs = spark.createDataFrame(rows, "pair_id long, chrom string, distance_band string, distance_bp int, n int, s double, label boolean, near boolean")
+    marked = sampling.with_match_buckets(pairs, "n", "s")
+    got = {r.pair_id: (r.negative_id, r.tier) for r in sampling.matched_negatives(marked, "label", "near", 5, strict=False).collect()}
+    u = {r.pair_id: r.u for r in pairs.select("pair_id", uniform(5, "pair_id").alias("u")).collect()}
+    data = marked.orderBy("pair_id").collect()
+    ranks = pairs.toPandas()["s"].rank()
+    decile = dict(zip([r[0] for r in rows], np.minimum(np.floor(ranks / 1501 * 10), 9)))
+    assert {r.pair_id: r.score_decile for r in data} == decile
+    assert len({r.pair_id >> 16 for r in data}) > 50
+    for r in data:
+        if not r.label:
+            assert r.pair_id not in got
+            continue
+        alike = [x for x in data if not x.near and (x.chrom, x.raw_bucket, x.score_decile) == (r.chrom, r.raw_bucket, r.score_decile)]
+        pools = [("exact_10kb", [x for x in alike if x.distance_bp == r.distance_bp]), ("within_50kb", [x for x in alike if x.distance_bp // 50_000 == r.distance_bp // 50_000]), ("within_band", alike)]
+        tier, pool = next((p for p in pools if p[1]), ("unmatched", None))
+        assert got[r.pair_id] == (pool[int(u[r.pair_id] * len(pool))].pair_id if pool else None, tier)
+    assert {tier for _, tier in got.values()} >= {"exact_10kb", "within_50kb"}
+
+
 def test_resampled_controls_do_not_multiply_pairs_by_contexts(spark, small_pairs):
     """Pools as in Python, for two contexts; pairs are folded by tile and no window orders them."""
     support = small_pairs.crossJoin(spark.createDataFrame([(0,), (1,)], "context_index int")).filter("(pair_id + context_index) % 3 = 0").select(
